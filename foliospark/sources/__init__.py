@@ -1,0 +1 @@
+"""Scans, text files, settings and provider interfaces."""

@@ -126,8 +126,10 @@ def margin_token(x: str, d: SparkDialect = SPARK) -> str:
 
 
 def glue_decimal(x: str, d: SparkDialect = SPARK) -> str:
-    for _ in range(2):
-        x = d.replace(x, rf"(\p{{Nd}})[{SPACE}]*\.[{SPACE}]*(\p{{Nd}})", "$1.$2")
+    """No spaces around a dot between digits; a digit can stand on both sides, so each twice."""
+    for gap in (rf"[{SPACE}]+\.[{SPACE}]*", rf"\.[{SPACE}]+"):
+        for _ in range(2):
+            x = d.replace(x, rf"(\p{{Nd}}){gap}(\p{{Nd}})", "$1.$2")
     return x
 
 

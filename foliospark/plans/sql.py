@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import itertools
 import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -130,3 +132,19 @@ def run(spark: SparkSession, build, **frames: DataFrame) -> DataFrame:
         names[key] = f"__folio_{key}_{next(_names)}"
         frame.createOrReplaceTempView(names[key])
     return spark.sql(build(SPARK, **names))
+
+
+def cut(frame: DataFrame) -> DataFrame:
+    """frame as a table written in the folder that spark.checkpoint.dir names (an own one where unset).
+
+    Plans that use a relation several times start from its files: neither the optimizer nor a
+    lost executor goes back through its lineage.
+    """
+    spark = frame.sparkSession
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = "file://" + tempfile.mkdtemp(prefix="foliospark-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/foliospark/cut-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)

@@ -39,6 +39,7 @@ STOP_WORDS = frozenset(
 BLOCK_TAGS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 DROP_TAGS = frozenset("aside button datalist dialog fieldset footer form head iframe label legend menu nav noscript object option select svg textarea title".split())
 RAW_TAGS = ("script", "style", "template", "textarea", "noscript", "iframe", "svg", "title")
+SELF_CLOSING = frozenset("p li dd dt tr td th option".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROP_NAMES = frozenset(
     "ad ads adbox adsense advert advertisement advertising adverts banner banners breadcrumb breadcrumbs byline captcha comment comments commentlist consent cookie cookies copyright disclaimer "
@@ -135,12 +136,12 @@ def blocks(html: str) -> list[Block]:
         if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
             heading = 0 if closing else 1
         if not closing:
-            if tag in ("p", "li", "dd", "dt", "tr", "td", "th", "option"):  # opening one closes an open one beside it
+            if tag in SELF_CLOSING:  # opening one closes an open one beside it
                 for k in range(len(stack) - 1, max(-1, len(stack) - 6), -1):
                     if stack[k][0] == tag:
                         del stack[k:]
                         break
-                    if stack[k][0] in ("ul", "ol", "dl", "table", "div", "article", "section", "td", "main", "body"):
+                    if stack[k][0] in BLOCK_TAGS and stack[k][0] not in SELF_CLOSING:
                         break
             up = stack[-1] if stack else ("", False, False, 0)
             inside = up[2] or tag in ("article", "main")

@@ -9,8 +9,8 @@ Role names are always escaped.  Texts are first rendered as they are; a determin
 (split at turn ends, then at the first opening; a text ends at any control string) recovers the
 turns, and each turn that differs
 from its source is rendered escaped: %, <, [ become %25, %3C, %5B, which leaves no control
-string.  This repeats until all turns are identical; the last step escapes every turn from the
-first difference on, which always is.  The result is checked again and a difference is an error.
+string.  This repeats until all turns are identical; a conversation that still differs is escaped
+throughout, which always is.  The result is checked again and a difference is an error.
 
 Defined results: null role or text: empty.  Turns of one conversation stand in order of turn
 (null first), then role and text; repeated rows are separate turns.  Null conv_id: one
@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 BEGIN, OPEN, OPEN_ESCAPED, END = "<s>", "[INST]", "[INST%]", "[/INST]</s>"
 LEARNED = "assistant"  # the role under the loss mask
 CONTROL = r"(?s)(?:</?s>|\[/?INST%?\])"  # no text runs past one of these
-GROUP = 256  # turns per stretch of the prefix sums
 
 
 def escape(c: Column) -> Column:
@@ -43,11 +42,11 @@ def unescape(c: Column) -> Column:
 def render(turns: Column, escaped: Column) -> Column:
     """Formatted pieces of turns (structs with role and text); escaped: one flag per turn."""
 
-    def piece(t: Column, i: Column) -> Column:
-        body = F.when(F.get(escaped, i), F.concat(F.lit(OPEN_ESCAPED), escape(t["text"]))).otherwise(F.concat(F.lit(OPEN), t["text"]))
+    def piece(t: Column, flag: Column) -> Column:
+        body = F.when(flag, F.concat(F.lit(OPEN_ESCAPED), escape(t["text"]))).otherwise(F.concat(F.lit(OPEN), t["text"]))
         return F.concat(F.lit(BEGIN), escape(t["role"]), body, F.lit(END))
 
-    return F.transform(turns, piece)
+    return F.zip_with(turns, escaped, piece)
 
 
 def parse(formatted: Column) -> Column:
@@ -75,15 +74,10 @@ def parse(formatted: Column) -> Column:
 
 
 def _differs(turns: Column, found: Column) -> Column:
-    def one(t: Column, i: Column) -> Column:
-        f = F.get(found, i)
-        return f.isNull() | ~(f["role"].eqNullSafe(t["role"]) & f["text"].eqNullSafe(t["text"]))
-
-    return F.transform(turns, one)
-
-
-def _either(a: Column, b: Column) -> Column:
-    return F.transform(a, lambda x, i: x | F.coalesce(F.get(b, i), F.lit(True)))
+    """A flag per turn: not recovered as it is.  Arrays are zipped, never looked up inside a
+    lambda, as an expression in a lambda is evaluated again for every element."""
+    same = lambda t, f: f.isNotNull() & f["role"].eqNullSafe(t["role"]) & f["text"].eqNullSafe(t["text"])
+    return F.slice(F.zip_with(turns, found, lambda t, f: ~same(t, f)), F.lit(1), F.size(turns))
 
 
 def format_chats(rows: DataFrame) -> DataFrame:
@@ -91,32 +85,29 @@ def format_chats(rows: DataFrame) -> DataFrame:
     turn = F.struct(F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     chats = rows.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
     # array_sort puts a null turn first within structs
-    chats = chats.withColumn("flags", F.transform("turns", lambda t: F.lit(False)))
-    for step in range(2):
-        chats = chats.withColumn("formatted", F.array_join(render(F.col("turns"), F.col("flags")), ""))
-        wrong = _differs(F.col("turns"), parse(F.col("formatted")))
-        chats = chats.withColumn("wrong", wrong).withColumn("flags", _either(F.col("flags"), F.col("wrong")))
-    first = F.array_position(F.col("wrong"), F.lit(True))
-    chats = chats.withColumn("flags", F.when(first == 0, F.col("flags")).otherwise(F.transform("flags", lambda f, i: f | (i >= first - 1))))
-    chats = chats.withColumn("formatted", F.array_join(render(F.col("turns"), F.col("flags")), ""))
-    same = ~F.exists(_differs(F.col("turns"), parse(F.col("formatted"))), lambda x: x)
+    turns, yes = F.col("turns"), lambda x: x
+    chats = chats.withColumn("plain", F.array_join(render(turns, F.transform(turns, lambda t: F.lit(False))), ""))
+    chats = chats.withColumn("flags", _differs(turns, parse(F.col("plain"))))
+    chats = chats.withColumn("first", F.array_join(render(turns, F.col("flags")), ""))
+    wrong = F.exists(_differs(turns, parse(F.col("first"))), yes)
+    chats = chats.withColumn("flags", F.when(wrong, F.transform(turns, lambda t: F.lit(True))).otherwise(F.col("flags")))
+    chats = chats.withColumn("formatted", F.array_join(render(turns, F.col("flags")), ""))
+    same = ~F.exists(_differs(turns, parse(F.col("formatted"))), yes)
     checked = F.when(same, F.col("formatted")).otherwise(F.raise_error(F.lit("a formatted conversation does not parse back")).cast("string"))
     return chats.select("conv_id", checked.alias("formatted"), F.size(F.filter("flags", lambda f: f)).alias("escaped_turns"))
 
 
 def loss_spans(formatted: Column) -> Column:
     """Half-open code-point ranges of the formatted text that the loss covers, in order."""
-    turns = parse(formatted)
-    whole = F.transform(turns, lambda t: t["head"] + t["size"] + len(END))
-    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
-    stretches = F.transform(F.sequence(F.lit(0), F.floor(F.size(whole) / GROUP).cast("int")), lambda g: total(F.slice(whole, g * GROUP + 1, GROUP)))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
 
-    def span(t: Column, i: Column) -> Column:
-        g = F.floor(i / GROUP).cast("int")
-        start = total(F.slice(stretches, F.lit(1), g)) + total(F.slice(whole, g * GROUP + 1, i - g * GROUP)) + t["head"]
-        return F.when(t["role"] == LEARNED, F.struct(start.alias("start"), (start + t["size"]).alias("end")))
+    def step(done: Column, t: Column) -> Column:
+        first = done["at"] + t["head"]
+        own = F.struct(first.alias("start"), (first + t["size"]).alias("end"))
+        spans = F.when(t["role"] == LEARNED, F.concat(done["spans"], F.array(own))).otherwise(done["spans"])
+        return F.struct((first + t["size"] + len(END)).alias("at"), spans.alias("spans"))
 
-    return F.filter(F.transform(turns, span), lambda s: s.isNotNull())
+    return F.aggregate(parse(formatted), start, step, lambda done: done["spans"])
 
 
 def digest(chats: DataFrame) -> DataFrame:

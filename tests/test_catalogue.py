@@ -1,9 +1,11 @@
 """Registered queries against DuckDB on the smallest tables; plans stay inside the JVM."""
 
 import glob
+import numbers
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -16,7 +18,12 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    text = lambda v: "" if v is None or v != v else repr(round(v, 9)) if isinstance(v, float) else str(v)
+
+    def text(v):
+        if v is None or v is pd.NA or v != v:
+            return ""
+        return repr(round(float(v), 9)) if isinstance(v, numbers.Number) and not isinstance(v, bool) else str(v)
+
     return sorted(tuple(map(text, r)) for r in frame.itertuples(index=False))
 
 

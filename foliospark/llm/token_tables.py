@@ -35,7 +35,8 @@ from . import common
 SHARD_BYTES = 32 << 20  # UTF-8 text bytes per shard
 BLOCK_BYTES = 64 << 10  # raw bytes per block
 BLOOM_BITS, BLOOM_HASHES = 10, 7  # bits per key, probes
-CACHE_UNITS = 600_000  # text units whose ids a worker remembers
+GROUP_BYTES = 8 << 20  # text encoded at a time
+CACHE_UNITS = 500_000  # text units whose ids a worker remembers
 FOOTER = "<8sQQQQQQB7x"  # magic, index at, bloom at, blocks, bloom bytes, docs, ids, id width
 MAGIC = b"FOLIOST1"
 _NULL = b"\0" * 8
@@ -99,13 +100,11 @@ class Encoder:
                 ids = units[unit] = self._unit(unit)
             parts.append(ids)
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // self.width
-        flat = np.frombuffer(b"".join(parts), self.dtype)
-        begin = np.cumsum(sizes) - sizes
-        at = coded.indices.to_numpy().astype(np.int64)
-        ends = np.cumsum(sizes[at])
-        total = int(ends[-1]) if len(ends) else 0
-        ids = flat[np.repeat(begin[at] - (ends - sizes[at]), sizes[at]) + np.arange(total)]
-        offsets = np.concatenate(([0], ends))[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        at = coded.indices.to_numpy()
+        known = np.empty(len(parts), object)
+        known[:] = parts
+        ids = np.frombuffer(b"".join(known[at]), self.dtype)
+        offsets = np.concatenate(([0], np.cumsum(sizes[at])))[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
         slow = np.flatnonzero(hard.to_numpy(zero_copy_only=False))
         if not len(slow):
             return ids, offsets
@@ -225,6 +224,19 @@ class ShardReader:
         return found
 
 
+def _grouped(batches: Iterator) -> Iterator:
+    """Batches joined until they hold GROUP_BYTES: units repeat more in larger groups."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= GROUP_BYTES:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if size:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 MANIFEST = "shard int, path string, n_docs long, n_ids long, first long, last long"
 
 
@@ -245,7 +257,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 0, shard_bytes: int = S
             encode = cache[tokenizer] = Encoder(tokenizer)
         end = np.array([end_id], encode.dtype).tobytes()
         writer = uri = first = last = None
-        for batch in batches:
+        for batch in _grouped(batches):
             if writer is None:
                 number = TaskContext.get().partitionId()
                 uri = f"{home}/{number:06d}-{uuid.uuid4().hex}.sst"

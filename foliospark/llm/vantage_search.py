@@ -5,7 +5,9 @@ x' = (x, sqrt(R^2 - |x|^2)) and q' = (q * R / |q|, 0) give |q' - x'|^2 = 2 R^2 -
 so the triangle inequality prunes exactly.  Rows are dealt to shards by hash; each shard keeps its
 distinct vectors in a vantage-point tree (a row each in a written table).  A subtree is skipped
 when relax * (distance to its shell) exceeds the query's k-th best so far: relax 1 is exact,
-larger values skip more.  Blocks of queries meet shards by an equi-join on the shard number, and the
+larger values skip more.  A block of queries
+walks a tree twice, to each query's own leaf and then to whatever its k-th best leaves open, so
+every node is visited by one group of queries at a time.  Blocks of queries meet shards by an equi-join on the shard number, and the
 best of each shard are merged in rounds of 64 shards.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and those of
@@ -91,35 +93,45 @@ class Tree:
         leaf_points = points[order]
         squares, q_squares = (leaf_points * leaf_points).sum(1), (q * q).sum(1)
 
-        def visit(node: int, active: np.ndarray) -> None:
+        home = np.full(len(q), -1)
+
+        def scan(first: int, last: int, active: np.ndarray) -> None:
+            far = q_squares[active, None] + squares[first:last] - 2 * q[active] @ leaf_points[first:last].T
+            far = np.sqrt(np.maximum(far, 0))
+            some = far.min(1) < best[active, -1]
+            active, far = active[some], far[some]
+            if not len(active):
+                return
+            both = np.concatenate((best[active], far), 1)
+            rows = np.concatenate((best_row[active], np.broadcast_to(order[first:last], far.shape)), 1)
+            if keep < both.shape[1]:
+                pick = np.argpartition(both, keep - 1, 1)[:, :keep]
+                both, rows = np.take_along_axis(both, pick, 1), np.take_along_axis(rows, pick, 1)
+            sort = np.argsort(both, 1, kind="stable")
+            best[active], best_row[active] = np.take_along_axis(both, sort, 1), np.take_along_axis(rows, sort, 1)
+
+        def visit(node: int, active: np.ndarray, widen: bool) -> None:
+            """First each query goes to its home leaf; then all others within its k-th best."""
             if not len(active):
                 return
             vantage, inner, outer, first, last = nodes[node]
             if vantage < 0:
-                far = q_squares[active, None] + squares[first:last] - 2 * q[active] @ leaf_points[first:last].T
-                far = np.sqrt(np.maximum(far, 0))
-                some = far.min(1) < best[active, -1]
-                active, far = active[some], far[some]
-                if not len(active):
-                    return
-                both = np.concatenate((best[active], far), 1)
-                rows = np.concatenate((best_row[active], np.broadcast_to(order[first:last], far.shape)), 1)
-                if keep < both.shape[1]:
-                    pick = np.argpartition(both, keep - 1, 1)[:, :keep]
-                    both, rows = np.take_along_axis(both, pick, 1), np.take_along_axis(rows, pick, 1)
-                sort = np.argsort(both, 1, kind="stable")
-                best[active], best_row[active] = np.take_along_axis(both, sort, 1), np.take_along_axis(rows, sort, 1)
+                if widen:
+                    active = active[home[active] != node]
+                else:
+                    home[active] = node
+                if len(active):
+                    scan(first, last, active)
                 return
             far = np.sqrt(((q[active] - points[vantage]) ** 2).sum(1))
             into = far <= radius[node]
             shell = np.abs(far - radius[node]) * relax
-            visit(inner, active[into])
-            visit(outer, active[~into])
-            open_ = shell <= best[active, -1] + 1e-9
-            visit(outer, active[into & open_])
-            visit(inner, active[~into & open_])
+            near = lambda: shell <= best[active, -1] + 1e-9 if widen else np.zeros(len(active), bool)
+            visit(inner, active[into | near()], widen)
+            visit(outer, active[~into | near()], widen)
 
-        visit(0, np.arange(len(q)))
+        visit(0, np.arange(len(q)), False)
+        visit(0, np.arange(len(q)), True)
         original = points[:, :-1]
         for i, query_id in enumerate(query_ids):
             found = []

@@ -80,7 +80,7 @@ def meaningful(x: str, d: SparkDialect = SPARK) -> str:
 
 def noise(x: str, d: SparkDialect = SPARK) -> str:
     c = "v_line"
-    address = rf"https?://|www\.|[a-z0-9_-]+\.(?:{DOMAINS})(?:\z|{NOT_WORD})"
+    address = rf"https?://|www\.|[a-z0-9_-]\.(?:{DOMAINS})(?:\z|{NOT_WORD})"
     standard = rf"^(?:{STANDARDS})[/\-_t{SPACE}\p{{Nd}}—]+\z"
     phrases = " OR ".join(f"instr({c}, '{p}') > 0" for p in PROMOTION)
     return d.let(c, f"lower({compact(x, d)})", f"({c} = '' OR {d.like(c, address)} OR {phrases} OR {d.like(c, standard)})")

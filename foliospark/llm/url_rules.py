@@ -1,8 +1,10 @@
 """Operator 7, URL rules indexed by their rarest literal token (DataFrame functions only).
 
-A rule names literal tokens ([a-z0-9]+ runs) that every URL it fits must contain.  Token
-frequencies over the URLs decide which of them files the rule; a URL's tokens fetch candidate
-rules from that index and only candidates run their regular expression, on host || path.
+A rule names literal tokens ([a-z0-9]+ runs) that every URL it fits must contain as whole tokens,
+so its pattern delimits them on both sides; "ad|ads" stands for one token or the other.  Token
+frequencies over the URLs decide which of them files the rule (under each of its alternatives); a
+URL's tokens fetch candidate rules from that index and only candidates run their regular
+expression, on host || path.
 
 Defined results: null URL or one without '://': host and path empty, no rule, the default
 verdict.  The longest fitting address rule decides; without one, any fitting pattern blocks.
@@ -56,11 +58,11 @@ ADDRESSES = (
     address_rule("block", "org/es/"),
 )
 PATTERNS = (
-    pattern_rule("free-bets", r"^[^/]*free-bets\.", "free", "bets"),
-    pattern_rule("cheap-pills", r"^[^/]*cheap-pills\.", "cheap", "pills"),
+    pattern_rule("free-bets", r"^[^/]*free-bets\.", "bets"),  # "free" and "cheap" may end a longer token
+    pattern_rule("cheap-pills", r"^[^/]*cheap-pills\.", "pills"),
     pattern_rule("casino", r"^(?:[^/]*[.-])?casino[.-]", "casino"),
     pattern_rule("adult", r"^(?:[^/]*[.-])?adult[.-]", "adult"),
-    pattern_rule("tracker", r"^[^/]*/(?:[^/]*/)*ads?/click", "click"),
+    pattern_rule("tracker", r"^[^/]*/(?:[^/]*/)*ads?/click", "ad|ads"),  # "click" may begin a longer token
 )
 
 
@@ -80,18 +82,21 @@ def tokens(target: Column) -> Column:
 
 
 def index_rules(targets: DataFrame, rules: tuple[Rule, ...]) -> dict[str, list[Rule]]:
-    """Each rule filed under its literal that the fewest targets have (ties: first by text).
+    """Each rule filed under its literal that the fewest targets have (ties: first by text); the
+    counts of alternatives add up.
 
     What comes to the driver is one count per literal of the rules, whatever the corpus size.
     """
-    words = sorted({x for r in rules for x in r.literals})
+    words = sorted({t for r in rules for x in r.literals for t in x.split("|")})
     seen = targets.select(F.explode(F.array_intersect(tokens(F.col("target")), F.array(*map(F.lit, words)))).alias("t")).groupBy("t").count()
     counts = {r["t"]: r["count"] for r in seen.collect()}
     index: dict[str, list[Rule]] = {}
     for r in rules:
         if not r.literals:
             raise ValueError(f"rule {r.text!r} has no literal token")
-        index.setdefault(min(r.literals, key=lambda t: (counts.get(t, 0), t)), []).append(r)
+        rarest = min(r.literals, key=lambda x: (sum(counts.get(t, 0) for t in x.split("|")), x))
+        for t in dict.fromkeys(rarest.split("|")):
+            index.setdefault(t, []).append(r)
     return index
 
 

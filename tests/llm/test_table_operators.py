@@ -3,6 +3,7 @@
 import math
 import os
 import random
+import re
 
 import numpy as np
 import pytest
@@ -105,6 +106,44 @@ def test_rules_are_filed_under_the_rarest_literal(spark):
     assert {t: [r.text for r in rs] for t, rs in index.items()} == {"en": ["com/en/"], "zz": ["zz.com/en/"]}
 
 
+GLUED = {
+    "http://buycheap-pills.example.org/fr/1": ("cheap-pills", "block"),
+    "http://m.nocheap-pills.x/": ("cheap-pills", "block"),
+    "http://xfree-bets.example.org/": ("free-bets", "block"),
+    "http://a.x/ads/clicks/1": ("tracker", "block"),
+    "http://a.x/ad/click123": ("tracker", "block"),
+    "http://a.x/ad/ads/click_1": ("tracker", "block"),
+    "http://a.x/b/ads/click": ("tracker", "block"),
+    "http://a.x/bads/click": (None, "allow"),
+    "http://a.x/ad/xclick": (None, "allow"),
+    "http://cheap-pillsx.x/": (None, "allow"),
+    "http://xcasino.x/": (None, "allow"),
+    "http://big-adult.x/": ("adult", "block"),
+}
+
+
+@pytest.mark.parametrize("inline", [500, 0])
+def test_rules_find_glued_hosts_and_suffixed_paths(spark, inline):
+    common = [f"http://a{i}.x/free/cheap/click/casino" for i in range(3)]  # decides which literals are rare
+    for extra in ([], common, [u.replace("a", "bets-pills.ad.ads.", 1) for u in common]):
+        assert [r[3:] if r[3] else (None, r[4]) for r in judged(spark, [*GLUED, *extra], inline=inline)][: len(GLUED)] == list(GLUED.values())
+
+
+def test_every_fitting_rule_is_fetched():
+    """Whatever a pattern fits holds a token of each of its literals."""
+    rng, parts = random.Random(8), ["free-bets.", "cheap-pills.", "casino.", "casino-", "adult.", "ads/click", "ad/click", "example.com/en/7", "org/es/", "example.net/de/8", "com", "x", "9", ".", "-", "/", "s", "é", "A"]
+    rules = U.ADDRESSES + U.PATTERNS
+    fits = dict.fromkeys((r.text for r in rules), 0)
+    for _ in range(40_000):
+        target = "".join(rng.choices(parts, k=rng.randint(1, 6)))
+        tokens = set(re.split("[^a-z0-9]+", target.lower()))
+        for r in rules:
+            if re.search(r.pattern, target):
+                fits[r.text] += 1
+                assert all(tokens & set(x.split("|")) for x in r.literals), (target, r)
+    assert min(fits.values()) > 20
+
+
 def mix_rows(seed=4):
     rng = random.Random(seed)
     rows = [(i, rng.choice(["b", "a", "c", "é", None]), " ".join("w" * rng.randint(0, 80))) for i in range(900)]

@@ -8,7 +8,12 @@ such a part, are boilerplate whatever they say.  The rest is judged twice:
    near good; short blocks without links stay open;
 2. open blocks take the label of the nearest decided neighbours on both sides: good when either
    nearest decided block in the same container is good, or when both sides agree; headings look
-   forward.  Where an article or main element exists, the blocks inside it are decided good.
+   forward.
+
+Article and main elements are a prior, if they hold at least as much text that is good by itself
+as the rest of the page: in them short blocks with a few links stay open, and open blocks are good
+unless the nearest decided blocks of the elements on both sides are bad.  Blocks elsewhere, and all
+blocks of a page whose good text is mostly elsewhere, are judged without it.
 
 Character references are decoded, white space within a block becomes one space, blocks are
 trimmed and joined by a line feed in page order.
@@ -166,7 +171,7 @@ def blocks(html: str) -> list[Block]:
 
 def label(found: list[Block]) -> None:
     """Both passes; sets label to good or bad."""
-    article = any(b.inside and not b.dropped for b in found)
+    weak: list[Block] = []
     for b in found:
         if b.dropped:
             b.label = "bad"
@@ -177,33 +182,51 @@ def label(found: list[Block]) -> None:
         stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
         if links > LINKS:
             b.label = "bad"
-        elif article:
-            b.label = "good" if b.inside else "bad"
         elif size >= LONG and stops >= STOP_HIGH or size >= 2 * LONG and stops >= STOP_LOW:
             b.label = "good"
-        elif size >= LONG and stops < STOP_LOW / 2 and links > 0:
-            b.label = "bad"
-        elif size < SHORT and links > 0:
+        elif size >= LONG and stops < STOP_LOW / 2 and links > 0 or size < SHORT and links > 0:
+            weak.append(b)
+    good = [0, 0]  # characters outside and inside article and main
+    for b in found:
+        good[b.inside] += len(b.text) * (b.label == "good")
+    prior = good[True] >= good[False]
+    for b in weak:
+        if not (prior and b.inside):
             b.label = "bad"
-    n = len(found)
-    ahead: list[tuple[str, int] | None] = [None] * n
-    near = None
-    for i in range(n - 1, -1, -1):
-        ahead[i] = near
-        if found[i].label != "open":
-            near = (found[i].label, found[i].container)
-    behind = None
+    _inherit(found, prior)
+
+
+def _inherit(found: list[Block], prior: bool) -> None:
+    """Second pass; what it decides serves no other block: only first-pass labels are inherited."""
+    first = [b.label for b in found]
+    ahead, behind = _nearest(found, first, False)
+    own_ahead, own_behind = _nearest(found, first, True) if prior else (ahead, behind)
     for i, b in enumerate(found):
-        if b.label != "open":
-            behind = (b.label, b.container)
+        if first[i] != "open":
+            continue
+        if prior and b.inside:
+            b.label = "bad" if all(s and s[0] == "bad" for s in (own_behind[i], own_ahead[i])) else "good"
             continue
-        sides = [s for s in (behind, ahead[i]) if s]
+        sides = [s for s in (behind[i], ahead[i]) if s]
         if b.heading and ahead[i]:
             b.label = ahead[i][0]
         else:
             own = [s for s in sides if s[1] == b.container]
             b.label = "good" if any(s[0] == "good" for s in own) or len(sides) == 2 and all(s[0] == "good" for s in sides) else "bad"
-        # what is decided here serves no other block: only first-pass labels are inherited
+
+
+def _nearest(found: list[Block], first: list[str], inside: bool) -> tuple[list, list]:
+    """(label, container) of the nearest decided block after and before each block; inside: among
+    what article and main elements hold and markup does not drop."""
+    out = []
+    for order in (range(len(found) - 1, -1, -1), range(len(found))):
+        near, sides = None, [None] * len(found)
+        for i in order:
+            sides[i] = near
+            if first[i] != "open" and (not inside or found[i].inside and not found[i].dropped):
+                near = (first[i], found[i].container)
+        out.append(sides)
+    return out[0], out[1]
 
 
 def main_text(html: str | None) -> str:

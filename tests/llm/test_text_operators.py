@@ -326,6 +326,26 @@ def test_main_text(frame):
     assert text == "\n".join(plain)
 
 
+TEASER = "<article class='card'><a href='/n'>Another of the stories</a><p>Read more.</p></article>"
+OTHER = ["Totocalcio domani pioggia Venezia, Firenze soleggiata, Palermo ventoso, Napoli nuvolosa.", "Breve."]
+
+
+@pytest.mark.parametrize("frame", [TEASER + "<div>{0}</div>", "<div>{0}</div>" + TEASER, "<div>{0}" + TEASER + "</div>"])
+def test_small_article_beside_the_main_text(frame):
+    shown = frame.format("<h2>{0}</h2><p>{1}</p><p>{2}</p><p>{3}</p>".format(*BODY))
+    lines = B.main_text(PAGE.format(main=shown)).split("\n")
+    assert lines == B.main_text(PAGE.format(main=f"<div>{shown.replace(TEASER, '')}</div>")).split("\n") and len(lines) == 4
+
+
+def test_article_is_a_prior():
+    both = B.main_text(PAGE.format(main=f"<article><h1>{BODY[0]}</h1><p>{BODY[3]}</p></article><div><p>{BODY[1]}</p></div>"))
+    assert both.split("\n")[0] == BODY[0] and both.split("\n")[-1] == unescape(BODY[1])  # good text beside it stays
+    few = "<article><h1>{0}</h1><p>{1}</p><div class='ad'>Buy it</div><p>{2}</p></article>".format(BODY[0], *OTHER)
+    assert B.main_text(PAGE.format(main=few)) == "\n".join([BODY[0], *OTHER])  # no stop words, all open
+    links = "<article><p>{0}</p><ul><li><a href='/1'>One</a></li><li>{1}</li><li><a href='/2'>Two</a></li></ul></article>".format(BODY[1], "next up")
+    assert B.main_text(PAGE.format(main=links)) == unescape(BODY[1])
+
+
 def test_extraction_rows(spark):
     cut = "<article><p>The text of the page is cut off in the middle of the <b"
     deep = "<div>" * 3000 + "<p>The text is deep in the page and it has some of the words of the list in it.</p>"

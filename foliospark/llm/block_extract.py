@@ -2,7 +2,10 @@
 
 Markup is split into blocks at block-level tags.  Blocks inside navigation, page header or
 footer, sidebar, form, script and similar elements, or in elements whose class, id or role names
-such a part, are boilerplate whatever they say.  The rest is judged twice:
+such a part, are boilerplate whatever they say.  Names of layouts (has-, no-, with-, content-...-wrap)
+are no such names, and a class or id does not drop an element with a main element, with articles that
+hold as much good text as all that is left, or (but for names as ad or comments) with most of the
+page's good text.  The rest is judged twice:
 
 1. by itself: high link density is bad; long blocks with many stop words are good, with fewer
    near good; short blocks without links stay open;
@@ -51,6 +54,9 @@ DROP_NAMES = frozenset(
     "disqus footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion recommended related replies reply "
     "respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets".split()
 )
+# Of these, names that no wrapper of the main text bears, and what makes a compound one of a layout.
+FIRM_NAMES = frozenset("ad ads adbox adsense advert advertisement advertising adverts captcha comment comments commentlist consent cookie cookies disqus gdpr popup replies reply respond".split())
+LAYOUT_FIRST, LAYOUT_LAST, LAYOUT_CONTENT = frozenset("has no with without".split()), frozenset("wrap wrapper".split()), frozenset("article content main".split())
 DROP_ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 LONG, SHORT = 60, 25  # characters: longer is judged by stop words, shorter stays open
 STOP_HIGH, STOP_LOW, LINKS = 0.30, 0.12, 0.35  # shares of stop words and of linked characters
@@ -62,6 +68,20 @@ _NAME = re.compile(r"[^a-zA-Z0-9]+|(?<=[a-z])(?=[A-Z])")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
+@dataclass
+class Named:
+    """An element that its class or id drops, unless it turns out to hold the main text."""
+
+    serial: int
+    up: Named | None  # the nearest such element around it
+    firm: bool
+    depth: int  # articles and main elements around it, without those of a dropping name
+    main: bool = False
+    lost: bool = True
+    good: int = 0  # characters of good text, without what elements in it drop
+    article: int | None = None  # those in articles of its own; None: there is no text in such
+
+
 @dataclass
 class Block:
     text: str
@@ -71,6 +91,8 @@ class Block:
     inside: bool  # in an article or main element
     container: int
     label: str = "open"
+    named: Named | None = None
+    depth: int = 0
 
 
 def _dropped(tag: str, attributes: str, in_article: bool) -> bool:
@@ -84,19 +106,33 @@ def _dropped(tag: str, attributes: str, in_article: bool) -> bool:
             return True
         if name == "role" and value.lower() in DROP_ROLES or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-            parts = {p.lower() for p in _NAME.split(value)}
-            if parts & DROP_NAMES and not (in_article and tag == "header"):
-                return True
     return False
 
 
+def _names(attributes: str) -> set[str]:
+    """Words of class and id that drop an element."""
+    found = set()
+    for m in _ATTR.finditer(attributes):
+        if m[1].lower() in ("class", "id"):
+            for compound in (m[2] or m[3] or m[4] or "").split():
+                parts = [p.lower() for p in _NAME.split(compound) if p]
+                names = DROP_NAMES.intersection(parts)
+                if names and not _layout(parts):
+                    found |= names
+    return found
+
+
+def _layout(parts: list[str]) -> bool:
+    return parts[0] in LAYOUT_FIRST or parts[-1] in LAYOUT_LAST and not LAYOUT_CONTENT.isdisjoint(parts) and FIRM_NAMES.isdisjoint(parts)
+
+
 def blocks(html: str) -> list[Block]:
     from html import unescape
 
     out: list[Block] = []
     parts: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, bool, int]] = []  # tag, dropped, in article, container
+    top = ("", False, False, 0, None, 0)
+    stack: list[tuple[str, bool, bool, int, Named | None, int]] = []  # tag, dropped, in article, container, named, depth
     links = heading = serial = 0
 
     def flush() -> None:
@@ -105,9 +141,9 @@ def blocks(html: str) -> list[Block]:
             raw = "".join(p for p, _ in parts)
             text = " ".join(unescape(raw).split())
             if text:
-                top = stack[-1] if stack else ("", False, False, 0)
+                own = stack[-1] if stack else top
                 linked = sum(len(" ".join(unescape(p).split())) for p, a in parts if a)
-                out.append(Block(text, linked, top[1], heading > 0, top[2], top[3]))
+                out.append(Block(text, linked, own[1], heading > 0, own[2], own[3], named=own[4], depth=own[5]))
             parts = []
 
     at = 0
@@ -148,18 +184,27 @@ def blocks(html: str) -> list[Block]:
                         break
                     if stack[k][0] in BLOCK_TAGS and stack[k][0] not in SELF_CLOSING:
                         break
-            up = stack[-1] if stack else ("", False, False, 0)
+            up = stack[-1] if stack else top
             inside = up[2] or tag in ("article", "main")
             drop = up[1] or _dropped(tag, m[3], up[2])
-            if drop != up[1] and tag not in BLOCK_TAGS:
-                flush()
+            names = _names(m[3]) if m[3] and not drop and tag not in ("html", "body") and not (up[2] and tag == "header") else ()
             serial += 1
+            named, depth = up[4], up[5]
+            if tag in ("article", "main"):
+                depth += not names
+                if named and tag == "main" and not drop:
+                    named.main = True
+            elif names:
+                named = Named(serial, named, not FIRM_NAMES.isdisjoint(names), depth)
+            if (drop != up[1] or named is not up[4]) and tag not in BLOCK_TAGS:
+                flush()
             own = serial if tag in ("article", "main", "section", "div", "body", "td", "blockquote") else up[3]
-            stack.append((tag, drop, inside, own))
+            stack.append((tag, drop, inside, own, named, depth))
         else:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    if stack[k][1] != (stack[k - 1][1] if k else False):
+                    above = stack[k - 1] if k else top
+                    if stack[k][1] != above[1] or stack[k][4] is not above[4]:
                         flush()
                     del stack[k:]
                     break
@@ -186,16 +231,55 @@ def label(found: list[Block]) -> None:
             b.label = "good"
         elif size >= LONG and stops < STOP_LOW / 2 and links > 0 or size < SHORT and links > 0:
             weak.append(b)
+    _drop_named(found)
     good = [0, 0]  # characters outside and inside article and main
     for b in found:
+        if b.dropped:
+            b.label = "bad"
         good[b.inside] += len(b.text) * (b.label == "good")
     prior = good[True] >= good[False]
     for b in weak:
-        if not (prior and b.inside):
+        if b.dropped or not (prior and b.inside):
             b.label = "bad"
     _inherit(found, prior)
 
 
+def _drop_named(found: list[Block]) -> None:
+    """Drops the blocks of elements that a class or id drops and that do not hold the main text."""
+    elements: dict[int, Named] = {}
+    total = left = 0
+    bare = True  # no text is left in article and main elements
+    for b in found:
+        if b.dropped:
+            continue
+        size = len(b.text) * (b.label == "good")
+        total += size
+        n = b.named
+        if n is None:
+            left, bare = left + size, bare and not b.inside
+            continue
+        n.good += size
+        if b.depth > n.depth:
+            n.article = (n.article or 0) + size
+        while n is not None and n.serial not in elements:
+            elements[n.serial] = n
+            n = n.up
+    for _, n in sorted(elements.items(), reverse=True):  # inner ones first
+        holds_article = n.article is not None and (n.main or n.article >= left)
+        n.lost = not (holds_article or not n.firm and 2 * n.good > total and (bare or n.depth > 0))
+        if n.up:
+            n.up.main |= n.main
+            if not n.lost:
+                n.up.good += n.good
+                more = n.good if n.depth > n.up.depth else n.article
+                if more is not None:
+                    n.up.article = (n.up.article or 0) + more
+    for _, n in sorted(elements.items()):
+        n.lost |= n.up is not None and n.up.lost
+    for b in found:
+        b.dropped |= b.named is not None and b.named.lost
+
+
 def _inherit(found: list[Block], prior: bool) -> None:
     """Second pass; what it decides serves no other block: only first-pass labels are inherited."""
     first = [b.label for b in found]

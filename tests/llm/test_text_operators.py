@@ -346,6 +346,36 @@ def test_article_is_a_prior():
     assert B.main_text(PAGE.format(main=links)) == unescape(BODY[1])
 
 
+ARTICLE = f"<h1>{BODY[0]}</h1><p>{BODY[1]}</p><p>{BODY[2]}</p><p>{BODY[3]}</p>"
+
+
+@pytest.mark.parametrize(
+    "frame",
+    [
+        "<div class='content-sidebar-wrap'><article>{}</article></div>",
+        "<div class='has-sidebar'>{}</div>",
+        "<div class='page no-sidebar' id='withComments'>{}</div>",
+        "<div class='sidebar page'><main>{}</main></div>",
+        "<div id='header-page'><div class='menu-x'><article>{}</article></div></div>",
+        "<div class='sidebar-left'><div>{}</div></div>",
+        "<div class='widget'><article>{}</article><div class='ad'>Buy all of this and the rest of it, as it is the best that you and we have.</div></div>",
+    ],
+)
+def test_names_do_not_drop_the_main_text(frame):
+    plain = B.main_text(PAGE.format(main=f"<div>{ARTICLE}</div>"))
+    assert B.main_text(PAGE.format(main=frame.format(ARTICLE))) == plain and plain.count("\n") == 3
+
+
+def test_names_still_drop_other_text():
+    more = f"<p>{BODY[1]} {BODY[1]}</p>" * 9
+    teaser = f"<article><p>{BODY[1][:70]}</p></article>"
+    for part in (f"<div class='ad'>{more}</div>", f"<section id=comments><ol><li class=comment><article class='comment-body'>{more}</article></ol></section>", f"<div class=related>{teaser}</div>", f"<div class='cookie-content-wrap'>{more}</div>", f"<div class=sidebar>{more}</div>"):
+        for shown in (f"<article>{ARTICLE}</article>{part}", f"{part}<article>{ARTICLE}</article>"):
+            assert B.main_text(PAGE.format(main=shown)) == B.main_text(PAGE.format(main=f"<article>{ARTICLE}</article>"))
+    assert B.main_text(f"<article><p>Short.</p></article><div class=ad>{more}</div>") == "Short."
+    assert B.main_text("<div class=sidebar>" * 3000 + BODY[2] + "</div>" * 3000) == ""
+
+
 def test_extraction_rows(spark):
     cut = "<article><p>The text of the page is cut off in the middle of the <b"
     deep = "<div>" * 3000 + "<p>The text is deep in the page and it has some of the words of the list in it.</p>"

@@ -1,7 +1,8 @@
 """Operator 3, MinHash near-dedup with sequential Bayesian verification.
 
 1. Every text becomes its set of distinct 5-word shingle hashes, a MinHash signature and band
-   keys.  Texts with equal sets form a class, represented by its smallest doc_id.
+   keys.  Texts with equal sets form a class, a node named by 64 bits of the set's digest and
+   represented by one of its rows.  Rows of one doc_id with different texts are linked outright.
 2. Star pass: in each band bucket every representative is paired with the bucket's smallest one
    (linear in the bucket).  Pairs compare signature batches; a pair is dropped as soon as the
    posterior P(similarity >= threshold | matches) falls under the miss probability; survivors
@@ -13,8 +14,10 @@
 4. Components come from alternating large-star and small-star steps on written tables.
 
 Defined results: null, empty or wordless text: n_shingles 0, its own component, kept.
-Null doc_id: its row is returned with component_id null and kept true and links nothing.
-Repeated doc_ids: rows of one id are one node.  An empty table gives an empty result; extra
+Null doc_id: the row links like others; it is kept only if no row of its component has an id, and
+then one row of the component is (with the smallest hash of the text).  component_id is null where
+no row has an id.
+Repeated doc_ids: rows of one id are in one component and kept or left out together.  An empty table gives an empty result; extra
 columns of the input are ignored.
 """
 
@@ -80,22 +83,22 @@ def _sketch(batches: Iterator) -> Iterator:
     hasher, mult = WordHasher(), _multipliers()
     salt = np.arange(BANDS, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)
     for batch in batches:
-        n, digest, sig, bands = [], [], [], []
+        n, node, sig, bands = [], [], [], []
         for s in shingle_sets(hasher, batch.column("text")):
             n.append(len(s))
             if not len(s):
-                digest.append(None), sig.append(None), bands.append(None)
+                node.append(None), sig.append(None), bands.append(None)
                 continue
             x = signature(s, mult)
-            digest.append(xxhash.xxh3_128_digest(s.tobytes()))
+            node.append(int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[:8], "little", signed=True))
             sig.append((x & np.uint32(255)).astype(np.uint8).tobytes())
             key = salt.copy()
             for part in x.reshape(BANDS, -1).T.astype(np.uint64):
                 key = (key ^ (key >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + part
             bands.append(key.view(np.int64))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-            ["doc_id", "n_shingles", "digest", "sig", "bands"],
+            [batch.column("row"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+            ["row", "doc_id", "n_shingles", "node", "sig", "bands"],
         )
 
 
@@ -103,7 +106,7 @@ def _sets(batches: Iterator) -> Iterator:
     hasher = WordHasher()
     for batch in batches:
         found = [s.tobytes() for s in shingle_sets(hasher, batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], ["id", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.binary())], ["id", "shingles"])
 
 
 def _prune(batches: Iterator) -> Iterator:
@@ -181,55 +184,90 @@ def components(scratch: common.Scratch, links: DataFrame, name: str) -> DataFram
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs(doc_id, text)."""
+    return decisions(docs).drop("row")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    doc_id, text = F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
+    return docs.select(doc_id, text).withColumn("row", row_key())
+
+
+def row_key():
+    """Equal for rows of equal doc_id and text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def decisions(docs: DataFrame) -> DataFrame:
+    """near_duplicates with the key (row) of each row."""
     spark: SparkSession = docs.sparkSession
     common.small_batches(spark)
     scratch = common.Scratch(spark, "minhash")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = _keyed(docs)
 
-    sketch = scratch.keep(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, digest binary, sig binary, bands array<long>"), "sketch")
-    known = sketch.where("doc_id is not null and digest is not null")
-    classes = scratch.keep(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1"), "classes")
-    reps = known.join(classes, "digest", "left").where("rep is null or rep = doc_id").select(F.col("doc_id").alias("id"), "sig", "bands")
+    found = docs.mapInArrow(_sketch, "row long, doc_id long, n_shingles long, node long, sig binary, bands array<long>")
+    found = found.withColumn("node", F.coalesce("node", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id"))))  # wordless texts
+    sketch = scratch.keep(found.withColumn("nth", F.monotonically_increasing_id()), "sketch")
+    known = sketch.where("sig is not null")
+    classes = scratch.keep(known.groupBy("node").agg(F.min("row").alias("rep"), F.count("*").alias("n")).where("n > 1"), "classes")
+    reps = known.join(classes, "node", "left").where("rep is null or rep = row").select(F.col("node").alias("id"), "sig", "bands", "row")
 
     rows = reps.select("id", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub <> top").select("key", "hub")
     buckets = scratch.keep(rows.join(shared, "key"), "buckets")
     ids = buckets.select("id").distinct()
-    sigs = scratch.keep(reps.select("id", "sig").join(ids, "id").dropDuplicates(["id"]), "sigs")
+    sigs = scratch.keep(reps.select("id", "sig", "row").join(ids, "id").dropDuplicates(["id"]), "sigs")
 
     def side(table: DataFrame, key: str, value: str) -> DataFrame:
         return table.select(F.col("id").alias(key), F.col(table.columns[1]).alias(f"{value}_{key}"))
 
     pairs = buckets.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     likely = scratch.keep(pairs.join(side(sigs, "a", "sig"), "a").join(side(sigs, "b", "sig"), "b").mapInArrow(_prune, "a long, b long"), "likely")
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = scratch.keep(docs.join(wanted, "doc_id").mapInArrow(_sets, "id long, shingles binary").dropDuplicates(["id"]), "sets")
+
+    def sets_of(wanted: DataFrame, name: str) -> DataFrame:
+        rows = docs.join(sigs.select("id", "row").join(wanted, "id"), "row").select("id", "text")
+        return scratch.keep(rows.mapInArrow(_sets, "id long, shingles binary").dropDuplicates(["id"]), name)  # of an id, all sets are equal
+
+    sets = sets_of(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "sets")
     stars = scratch.keep(likely.join(side(sets, "a", "set"), "a").join(side(sets, "b", "set"), "b").mapInArrow(_confirm, "a long, b long"), "stars")
     scratch.drop("sets")
+    several = sketch.where("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("hi")).where("b <> hi").select("doc_id", "b")
+    same_id = sketch.select("doc_id", F.col("node").alias("a")).join(several, "doc_id").where("a <> b").select("a", "b").distinct()
+    stars = stars.unionByName(scratch.keep(same_id, "same-id"))
     comps = scratch.keep(components(scratch, stars, "star-cc"), "comps-1")
 
     placed = buckets.join(comps, "id", "left").select("key", "hub", "id", F.coalesce("comp", "id").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     open_rows = scratch.keep(placed.join(mixed, "key").select("hub", "id", "comp").distinct(), "open")
     sizes = open_rows.groupBy("hub").agg(F.count("*").alias("n")).select("hub", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
-    sets = scratch.keep(docs.join(open_rows.select(F.col("id").alias("doc_id")).distinct(), "doc_id").mapInArrow(_sets, "id long, shingles binary").dropDuplicates(["id"]), "open-sets")
+    sets = sets_of(open_rows.select("id").distinct(), "open-sets")
     part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     dealt = open_rows.join(sizes, "hub").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("hub", "id", "comp", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
-    blocks = dealt.join(sigs, "id").join(sets, "id")
+    blocks = dealt.join(sigs.select("id", "sig"), "id").join(sets, "id")
     rest = scratch.keep(blocks.groupBy("hub", "lo", "hi").applyInArrow(_block_links, "a long, b long"), "rest")
     links = stars.unionByName(rest)
     comps = scratch.keep(components(scratch, links, "cc"), "comps")
 
-    final = comps.select(F.col("id").alias("rep"), "comp")
-    out = sketch.select("doc_id", "n_shingles", "digest").join(classes.select("digest", "rep"), "digest", "left")
-    out = out.withColumn("rep", F.coalesce("rep", "doc_id")).join(final, "rep", "left")
-    component = F.coalesce("comp", "rep")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    final = comps.select(F.col("id").alias("node"), "comp")
+    rows = sketch.select("row", "nth", "doc_id", "n_shingles", "node").join(final, "node", "left").withColumn("root", F.coalesce("comp", "node"))
+    groups = rows.groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select("root", "least")
+    first = rows.where("doc_id is null and root is not null").groupBy("root").agg(F.min(F.struct("row", "nth")).alias("first"))
+    out = rows.join(scratch.keep(groups, "groups"), "root", "left").join(scratch.keep(first, "first"), "root", "left")
+    component = F.coalesce("least", "doc_id")
+    alone = F.col("root").isNull() | component.isNull() & (F.col("nth") == F.col("first.nth"))
+    return out.select("row", "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, alone, F.lit(False)).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs whose document is the kept one of its group, with all columns of docs."""
-    spark = docs.sparkSession
-    gone = common.Scratch(spark, "minhash-gone").keep(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    scratch = common.Scratch(docs.sparkSession, "minhash-gone")
+    found = decisions(docs).groupBy("row").agg(F.max("kept").alias("kept"), F.min("kept").alias("all"))
+    found = scratch.keep(found.where("not all").withColumnRenamed("row", "__row"), "gone")
+    gone, once = found.where("not kept").select("__row"), found.where("kept").select("__row")
+    kept = docs.join(gone, row_key() == gone["__row"], "left_anti")
+    if once.isEmpty():
+        return kept
+    # equal texts with a null doc_id, of which one row is kept
+    rows = kept.join(F.broadcast(once), row_key() == once["__row"])
+    one = rows.groupBy("__row").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("r")).select("r.*")
+    return kept.join(once, row_key() == once["__row"], "left_anti").unionByName(one)

@@ -176,6 +176,18 @@ def test_near_duplicates_equal_brute_force(spark):
     assert {r["doc_id"] for r in kept.collect()} == {i for i in ids if find(i) == i} | {None}
 
 
+def test_texts_of_a_repeated_id_all_link(spark):
+    words = lambda p, n=40: " ".join(f"{p}{i}" for i in range(n))
+    texts = [words("a"), words("b"), words("a") + " end", words("b") + " end", words("c"), words("c"), "", words("d"), words("e"), words("e")]
+    ids = [50, 50, 60, 70, 80, 80, 90, 90, 100, 95]
+    expected = {50: 50, 60: 50, 70: 50, 80: 80, 90: 90, 95: 95, 100: 95}
+    for order in (list(range(10)), list(range(9, -1, -1)), [1, 0, *range(2, 10)]):
+        out = M.near_duplicates(documents(spark, [texts[i] for i in order], [ids[i] for i in order])).collect()
+        assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in out) == sorted((i, expected[i], expected[i] == i) for i in ids)
+    kept = M.keep_one(documents(spark, texts, ids)).collect()
+    assert sorted(r["doc_id"] for r in kept) == [50, 50, 80, 80, 90, 90, 95]
+
+
 def test_large_group_of_near_copies_and_empty_table(spark):
     rng = random.Random(6)
     base = [f"w{i}" for i in range(60)]

@@ -57,6 +57,19 @@ def held_out_flag(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def without(docs: DataFrame, flagged, name: str) -> DataFrame:
+    """docs without the rows that flagged marks.
+
+    flagged takes (doc_id long, text) and returns a table with the doc_ids to drop; it must judge
+    by text alone.  Rows with a null doc_id go in under a hash of their text and are dropped by it.
+    """
+    doc_id, key = F.col("doc_id"), F.xxhash64(F.col("text").cast("string"))
+    named = flagged(docs.where(doc_id.isNotNull())).select(F.col("doc_id").cast("long").alias("__gone"), F.lit(None).cast("long").alias("__key"))
+    bare = flagged(docs.where(doc_id.isNull()).select(key.alias("doc_id"), "text")).select(F.lit(None).cast("long").alias("__gone"), F.col("doc_id").alias("__key"))
+    gone = Scratch(docs.sparkSession, name).keep(named.unionByName(bare).distinct(), "gone")
+    return docs.join(gone, doc_id.cast("long").eqNullSafe(gone["__gone"]) & F.when(doc_id.isNull(), key).eqNullSafe(gone["__key"]), "left_anti")
+
+
 def worker_cache() -> dict:
     """A dict that outlives the tasks of one Python worker."""
     import sys

@@ -163,7 +163,5 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_cha
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the documents that hold a test item; rows with a null doc_id stay."""
-    hits = matches(docs, benchmark).where("doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
-    gone = common.Scratch(docs.sparkSession, "contaminated").keep(hits, "gone")
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """docs without the documents that hold a test item, rows with a null doc_id among them."""
+    return common.without(docs, lambda rows: matches(rows, benchmark), "contaminated")

@@ -122,7 +122,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the documents predicted toxic; rows with a null doc_id stay."""
-    gone = score(docs, train(docs, labels)).where("predicted = 1 and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
-    gone = common.Scratch(docs.sparkSession, "toxic").keep(gone, "gone")
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """docs without the documents predicted toxic, rows with a null doc_id among them."""
+    model = train(docs, labels)
+    return common.without(docs, lambda rows: score(rows, model).where("predicted = 1"), "toxic")

@@ -237,6 +237,21 @@ def test_toxicity_on_held_out_rows(spark):
     assert kept.columns == docs.columns and kept.count() == sum(1 - r["predicted"] for r in out.values())
 
 
+def test_rows_with_a_null_id_are_judged_too(spark):
+    texts, toxic = labelled(400, 9)
+    bad, clean = next(t for t, y in zip(texts, toxic) if y), next(t for t, y in zip(texts, toxic) if not y)
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    docs = documents(spark, [*texts, bad, clean, None], [*range(400), None, None, None])
+    assert sorted(map(str, (r["text"] for r in X.drop_toxic(docs, labels).where("doc_id is null").collect()))) == sorted(["None", clean])
+    item = "an item of the benchmark that is long enough to be told from the rest of the texts"
+    table = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = documents(spark, ["x " + item, clean, "y " + item, clean, None], [1, 2, None, None, None])
+    assert sorted(str((r["doc_id"], r["text"])) for r in D.drop_contaminated(docs, table).collect()) == sorted(map(str, [(2, clean), (None, clean), (None, None)]))
+    near = bad.split() + ["end"]
+    docs = documents(spark, [bad, " ".join(near), "alone in here " + clean, "alone in here " + clean, None], [7, None, None, None, None])
+    assert sorted(str((r["doc_id"], r["text"])) for r in M.keep_one(docs).collect()) == sorted(map(str, [(7, bad), (None, "alone in here " + clean), (None, None)]))
+
+
 def test_labels_of_held_out_rows_are_never_read(spark):
     texts, toxic = labelled(300, 8)
     docs = documents(spark, texts)

@@ -6,11 +6,11 @@ Grammar of a formatted conversation:
     turn         = "<s>" role ( "[INST]" text | "[INST%]" escaped ) "[/INST]</s>"
 
 Role names are always escaped.  Texts are first rendered as they are; a deterministic parser
-(split at turn ends, then at the first opening; a text ends at any control string) recovers the
-turns, and each turn that differs
+(split at turn ends, then at the first opening; a text ends at any control string) recovers each
+turn from its own rendering, and a turn that differs
 from its source is rendered escaped: %, <, [ become %25, %3C, %5B, which leaves no control
-string.  This repeats until all turns are identical; a conversation that still differs is escaped
-throughout, which always is.  The result is checked again and a difference is an error.
+string.  The whole conversation is then parsed and compared too; one that still differs is escaped
+throughout, which always is the same.  The result is checked again and a difference is an error.
 
 Defined results: null role or text: empty.  Turns of one conversation stand in order of turn
 (null first), then role and text; repeated rows are separate turns.  Null conv_id: one
@@ -83,18 +83,22 @@ def _differs(turns: Column, found: Column) -> Column:
 def format_chats(rows: DataFrame) -> DataFrame:
     """(conv_id, formatted, escaped_turns) for rows(conv_id, turn, role, text)."""
     turn = F.struct(F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    chats = rows.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    own = F.array(F.col("t"))
+    alone = rows.select("conv_id", turn.alias("t")).withColumn("shown", render(own, F.array(F.lit(False)))[0])
+    alone = alone.withColumn("found", parse(F.col("shown"))).withColumn("bad", F.coalesce((F.size("found") != 1) | _differs(own, F.col("found"))[0], F.lit(True)))
+    piece = F.struct("t.turn", "t.role", "t.text", "bad")
+    chats = alone.select("conv_id", piece.alias("p")).groupBy("conv_id").agg(F.array_sort(F.collect_list("p")).alias("turns"))
     # array_sort puts a null turn first within structs
     turns, yes = F.col("turns"), lambda x: x
-    chats = chats.withColumn("plain", F.array_join(render(turns, F.transform(turns, lambda t: F.lit(False))), ""))
-    chats = chats.withColumn("flags", _differs(turns, parse(F.col("plain"))))
-    chats = chats.withColumn("first", F.array_join(render(turns, F.col("flags")), ""))
+    chats = chats.withColumn("first", F.array_join(render(turns, F.transform(turns, lambda p: p["bad"])), ""))
     wrong = F.exists(_differs(turns, parse(F.col("first"))), yes)
-    chats = chats.withColumn("flags", F.when(wrong, F.transform(turns, lambda t: F.lit(True))).otherwise(F.col("flags")))
-    chats = chats.withColumn("formatted", F.array_join(render(turns, F.col("flags")), ""))
-    same = ~F.exists(_differs(turns, parse(F.col("formatted"))), yes)
+    chats = chats.withColumn("flags", F.transform(turns, lambda p: p["bad"])).withColumn("wrong", wrong)
+    throughout = F.array_join(render(turns, F.transform(turns, lambda p: F.lit(True))), "")
+    chats = chats.withColumn("formatted", F.when(F.col("wrong"), throughout).otherwise(F.col("first")))
+    same = ~F.col("wrong") | ~F.exists(_differs(turns, parse(F.col("formatted"))), yes)
     checked = F.when(same, F.col("formatted")).otherwise(F.raise_error(F.lit("a formatted conversation does not parse back")).cast("string"))
-    return chats.select("conv_id", checked.alias("formatted"), F.size(F.filter("flags", lambda f: f)).alias("escaped_turns"))
+    escaped = F.when(F.col("wrong"), F.size(turns)).otherwise(F.size(F.filter("flags", yes)))
+    return chats.select("conv_id", checked.alias("formatted"), escaped.alias("escaped_turns"))
 
 
 def loss_spans(formatted: Column) -> Column:

@@ -49,14 +49,16 @@ class Encoder:
 
     Its pre-tokenizer never joins a space to what stands before it, so a text whose white space
     is single spaces and line feeds is encoded unit by unit (a unit begins at each space or line
-    feed) and each distinct unit only once.  All other texts are encoded whole.
+    feed) and each distinct unit only once.  All other texts are encoded whole, and so are those
+    that hold a special token of the file, which the library takes as that token.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.whole = "|".join([_HARD, *(re.sub(r"([^0-9A-Za-z\x80-\U0010ffff])", r"\\\1", t) for t in added)])
         self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
@@ -87,7 +89,7 @@ class Encoder:
     def __call__(self, column) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a string column and their n + 1 offsets."""
         column = column.fill_null("")
-        hard = pc.match_substring_regex(column, _HARD)
+        hard = pc.match_substring_regex(column, self.whole)
         texts = pc.binary_join_element_wise(pa.scalar("\0"), pc.if_else(hard, pa.scalar(""), column), "")
         lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
         coded = lists.flatten().dictionary_encode()
@@ -194,7 +196,7 @@ class ShardReader:
         import zstandard
 
         _, at, size = self.blocks[block]
-        data, p, key = zstandard.ZstdDecompressor().decompress(self.file.read_at(size, at), max_output_size=1 << 31), 0, b""
+        data, p, key = zstandard.ZstdDecompressor().decompress(self.file.read_at(size, at)), 0, b""
         while p < len(data):
             same, more, n = struct.unpack_from("<BBI", data, p)
             p += 6

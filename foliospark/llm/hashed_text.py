@@ -1,8 +1,8 @@
 """Hashed text features and the numpy trainers of the classifiers (operators 4 and 9).
 
 A text's features are its distinct words and the first 4, 5, 6 and last 3 bytes of its longer
-words, hashed to 2 ** 30 columns.  A model knows a bounded vocabulary of columns, chosen by its
-trainer from its bounded sample; other columns are ignored.  A text without words has no features
+words, hashed to 2 ** 30 columns.  A model has weights for columns that its trainer chose among all
+columns of its bounded sample; other columns are ignored.  A text without words has no features
 and scores by the intercept alone.
 """
 
@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from .textvec import WordHasher, column_bytes
 
 BITS = 30
-VOCABULARY = 1 << 16  # most columns of a model
 HEADS, TAILS = (4, 5, 6), (3,)
 
 
@@ -46,9 +45,19 @@ def feature_rows(rows: DataFrame, label: str) -> DataFrame:
     return rows.select(F.col(label).cast("int").alias(label), F.col("text").cast("string").alias("text")).mapInArrow(run, "label int, features binary")
 
 
-def sample(rows: DataFrame, bound: int, *ids: str) -> DataFrame:
-    """At most bound rows, the same on each run: those with the smallest hash of ids."""
-    return rows.orderBy(F.xxhash64(*ids, F.lit(11)), *ids).limit(bound)
+def sample(rows: DataFrame, bound: int, column: str) -> DataFrame:
+    """At most bound distinct values of a column, the same on each run: those of the smallest hash.
+
+    Only values in a low range of the hash are shuffled; the range widens while it holds too few.
+    """
+    hashed = rows.select(column, F.xxhash64(column, F.lit(11)).alias("h"))
+    share = 4 * bound / max(1, rows.count())
+    while True:
+        low = hashed if share >= 1 else hashed.where(F.col("h") < int((share * 2 - 1) * 2**63))
+        found = low.distinct().orderBy("h", column).limit(bound)
+        if share >= 1 or found.count() == bound:
+            return found.select(column)
+        share *= 16
 
 
 def restrict(rows: list[np.ndarray], vocabulary: np.ndarray) -> list[np.ndarray]:
@@ -76,6 +85,15 @@ class Matrix:
     def part(self, chosen: np.ndarray) -> Matrix:
         return Matrix([self.columns[self.ends[i] - self.sizes[i] : self.ends[i]] for i in chosen], self.width, self.shrink)
 
+    def only(self, kept: np.ndarray) -> Matrix:
+        """The ascending columns kept of the matrix, numbered anew."""
+        place = np.full(self.width, -1)
+        place[kept] = np.arange(len(kept))
+        at = place[self.columns]
+        sums = np.concatenate(([0], np.cumsum(at >= 0)))
+        bounds = sums[np.concatenate(([0], self.ends))]
+        return Matrix(np.split(at[at >= 0], bounds[1:-1]) if len(self.sizes) else [], len(kept), self.shrink)
+
     def dot(self, w: np.ndarray) -> np.ndarray:
         sums = np.concatenate(([0.0], np.cumsum(w[self.columns])))
         return (sums[self.ends] - sums[self.ends - self.sizes]) * self.scale
@@ -100,7 +118,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def margins(docs: DataFrame, vocabulary: np.ndarray, weights: np.ndarray, shrink: bool, carry: str) -> DataFrame:
-    """(carry, margin) of docs(carry, text); at most VOCABULARY columns and weights are broadcast."""
+    """(carry, margin) of docs(carry, text); the model broadcast has no more columns than its sample."""
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, weights))
 
     def run(batches):

@@ -1,15 +1,14 @@
 """Operator 9, quality by ordinal cumulative-link regression.
 
 P(grade <= k) = sigmoid(t_k - w . x) with one weight vector for all grades and ascending
-thresholds t_k, kept in order by learning their differences as exponentials.  The vocabulary is
-the most frequent columns of the sample (at least RARE rows), each valued 1 / sqrt(known columns
-of the text).  Expected grade and
-tail probability P(grade >= chosen) follow.  Features are those of hashed_text.
+thresholds t_k, kept in order by learning their differences as exponentials.  All columns that at
+least RARE rows of the sample hold are learned, each valued 1 / sqrt(known columns of the text).
+Expected grade and tail probability P(grade >= chosen) follow.  Features are those of hashed_text.
 
 Only rows whose crc32 of doc_id leaves a remainder by 5 are learned from, at most LABELLED.
 
 Defined results: null or empty text: decided by the thresholds alone.  Null doc_id: scored, held
-out.  Fewer than two grades: every expected grade is that grade (0 without labels), tail 1.0 if
+out.  Repeated rows are scored alike; of several ratings of one doc_id the highest counts.  Fewer than two grades: every expected grade is that grade (0 without labels), tail 1.0 if
 it reaches the chosen grade, else 0.0.  Empty table: empty result.  Extra columns are ignored.
 """
 
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .hashed_text import VOCABULARY, Adam, Matrix, feature_rows, margins, restrict, sample, sigmoid
+from .hashed_text import Adam, Matrix, feature_rows, margins, restrict, sample, sigmoid
 
 LABELLED = 6000  # most rows to fit on
 EPOCHS, CHUNKS, RATE, DECAY, RARE = 12, 8, 0.2, 1e-4, 4
@@ -37,38 +36,43 @@ class Model:
     thresholds: np.ndarray
 
 
+def cuts_of(free: np.ndarray) -> np.ndarray:
+    """Ascending thresholds of the first one and the logarithms of the gaps."""
+    return free[0] + np.append(0, np.cumsum(np.exp(free[1:])))
+
+
+def link_loss(x: Matrix, k: np.ndarray, w: np.ndarray, free: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean negative log-likelihood of grades k (from 0), and its gradients by weights and by free."""
+    cuts, eta, n = cuts_of(free), x.dot(w), max(1, len(k))
+    edge = np.concatenate(([-np.inf], cuts, [np.inf]))
+    hi, lo = sigmoid(edge[k + 1] - eta), sigmoid(edge[k] - eta)
+    p = np.maximum(hi - lo, 1e-12)
+    dhi, dlo = hi * (1 - hi) / p / n * (k < len(cuts)), lo * (1 - lo) / p / n * (k > 0)
+    by_cut = np.bincount(np.maximum(k - 1, 0), dlo, len(cuts) + 1)[:-1] - np.bincount(k, dhi, len(cuts) + 1)[:-1]
+    after = by_cut[::-1].cumsum()[::-1]  # a gap moves all later thresholds
+    return float(-np.log(p).mean()), x.back(dhi - dlo), np.append(after[0], after[1:] * np.exp(free[1:]))
+
+
 def fit(rows: list[np.ndarray], ratings: list[int], seed: int = 9) -> Model:
     grades = sorted(set(ratings))
     n_cuts = len(grades) - 1
     if n_cuts < 1:
         return Model(grades or [0], np.zeros(0, np.int32), np.zeros(0), np.zeros(0))
     columns, held = np.unique(np.concatenate(rows), return_counts=True)
-    kept = np.flatnonzero(held >= RARE)
-    known = np.sort(columns[kept[np.argsort(-held[kept], kind="stable")[:VOCABULARY]]])
+    known = columns[held >= RARE]
     x, y = Matrix(restrict(rows, known), len(known), True), np.searchsorted(grades, ratings)
     share = np.clip([(y <= k).mean() for k in range(n_cuts)], 1e-3, 1 - 1e-3)
-    cuts = np.log(share / (1 - share))
-    free = np.append(cuts[0], np.log(np.maximum(np.diff(cuts), 1e-3)))
+    start = np.log(share / (1 - share))
+    free = np.append(start[0], np.log(np.maximum(np.diff(start), 1e-3)))
     w = np.zeros(len(known))
     adam, rng = Adam(len(w) + n_cuts, RATE), np.random.default_rng(seed)
     for _ in range(EPOCHS):
         for chosen in np.array_split(rng.permutation(len(y)), CHUNKS):
-            part, k = x.part(chosen), y[chosen]
-            cuts = free[0] + np.append(0, np.cumsum(np.exp(free[1:])))
-            eta, edge = part.dot(w), np.concatenate(([-np.inf], cuts, [np.inf]))
-            hi, lo = sigmoid(edge[k + 1] - eta), sigmoid(edge[k] - eta)
-            p = np.maximum(hi - lo, 1e-9)
-            dhi, dlo = hi * (1 - hi) / p, lo * (1 - lo) / p
-            n = max(1, len(k))
-            d_eta = (dhi - dlo) / n
-            d_cut = np.bincount(np.minimum(k, n_cuts), -dhi * (k < n_cuts) / n, n_cuts + 1)[:n_cuts]
-            d_cut += np.bincount(np.maximum(k - 1, 0), dlo * (k > 0) / n, n_cuts + 1)[:n_cuts]
-            after = d_cut[::-1].cumsum()[::-1]
-            d_free = np.append(after[0], after[1:] * np.exp(free[1:]))
-            move = adam.step(np.append(part.back(d_eta) + DECAY * w, d_free))
+            _, d_w, d_free = link_loss(x.part(chosen), y[chosen], w, free)
+            move = adam.step(np.append(d_w + DECAY * w, d_free))
             w += move[: len(w)]
             free += move[len(w) :]
-    return Model(grades, known, w, free[0] + np.append(0, np.cumsum(np.exp(free[1:]))))
+    return Model(grades, known, w, cuts_of(free))
 
 
 def train(docs: DataFrame, labels: DataFrame, column: str = "quality", labelled: int = LABELLED) -> Model:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,23 +13,36 @@ from pyspark.sql import functions as F
 # Arrow rows per Python batch: texts may be long, so batches stay small.
 BATCH_ROWS = 512
 
+_folders: list[str] = []  # written by this process, oldest first
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or an own one where unset."""
+    """Folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a session in one process gets a temporary folder; on a cluster it is an error.
+    """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     conf = conf or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
-        conf = "file://" + tempfile.mkdtemp(prefix="foliospark-")
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        own = tempfile.mkdtemp(prefix="foliospark-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        conf = "file://" + own
         spark.conf.set("spark.checkpoint.dir", conf)
     return conf.rstrip("/")
 
 
 class Scratch:
-    """Written tables that cut lineage: lost executors re-read files instead of recomputing."""
+    """Written tables that cut lineage: lost executors re-read files instead of recomputing.
+
+    What an operator returns may still read its tables; drop_since removes them once that is written.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/foliospark/{name}-{uuid.uuid4().hex}"
+        _folders.append(self.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -36,15 +51,29 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def drop(self, name: str) -> None:
-        """Remove a table that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        path.getFileSystem(conf).delete(path, True)
+    def drop(self, *names: str) -> None:
+        """Remove tables that no later plan reads."""
+        for name in names:
+            _delete(self.spark, self.path(name))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder), spark.sparkContext._jsc.hadoopConfiguration()
+    path.getFileSystem(conf).delete(path, True)
+
+
+def mark() -> int:
+    return len(_folders)
+
+
+def drop_since(spark: SparkSession, marked: int) -> None:
+    """Remove the tables of all operators begun since mark(): their results are written elsewhere."""
+    while len(_folders) > marked:
+        _delete(spark, _folders.pop())
 
 
 def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batch size, which holds for its other Python functions too."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
@@ -61,13 +90,13 @@ def without(docs: DataFrame, flagged, name: str) -> DataFrame:
     """docs without the rows that flagged marks.
 
     flagged takes (doc_id long, text) and returns a table with the doc_ids to drop; it must judge
-    by text alone.  Rows with a null doc_id go in under a hash of their text and are dropped by it.
+    by text alone.  Rows go in under a hash of their doc_id and text, so each is judged by its own
+    text, rows with a null doc_id and several of one doc_id too.
     """
-    doc_id, key = F.col("doc_id"), F.xxhash64(F.col("text").cast("string"))
-    named = flagged(docs.where(doc_id.isNotNull())).select(F.col("doc_id").cast("long").alias("__gone"), F.lit(None).cast("long").alias("__key"))
-    bare = flagged(docs.where(doc_id.isNull()).select(key.alias("doc_id"), "text")).select(F.lit(None).cast("long").alias("__gone"), F.col("doc_id").alias("__key"))
-    gone = Scratch(docs.sparkSession, name).keep(named.unionByName(bare).distinct(), "gone")
-    return docs.join(gone, doc_id.cast("long").eqNullSafe(gone["__gone"]) & F.when(doc_id.isNull(), key).eqNullSafe(gone["__key"]), "left_anti")
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    gone = flagged(docs.select(key.alias("doc_id"), "text")).select(F.col("doc_id").alias("__gone")).distinct()
+    gone = Scratch(docs.sparkSession, name).keep(gone, "gone")
+    return docs.join(gone, key == gone["__gone"], "left_anti")
 
 
 def worker_cache() -> dict:

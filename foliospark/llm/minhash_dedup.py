@@ -7,18 +7,20 @@
    (linear in the bucket).  Pairs compare signature batches; a pair is dropped as soon as the
    posterior P(similarity >= threshold | matches) falls under the miss probability; survivors
    are confirmed on full sets.
-3. Block pass: buckets whose members still lie in different components are compared in square
-   blocks, only across components, with the same pruning and the same exact check.
-   A block returns no more links than it has documents (a spanning forest), so no group is
-   expanded into its pairs.
+3. Block pass: the smallest one of each bucket is done; buckets whose other members still lie in
+   different components are compared in square blocks, only across components.  First blocks of
+   signatures return the documents that have a partner left after pruning; then these alone meet
+   again with their full sets, and a block returns no more links than it has documents (a
+   spanning forest).  So no group is expanded into its pairs, and sets travel for likely pairs only.
 4. Components come from alternating large-star and small-star steps on written tables.
 
 Defined results: null, empty or wordless text: n_shingles 0, its own component, kept.
 Null doc_id: the row links like others; it is kept only if no row of its component has an id, and
 then one row of the component is (with the smallest hash of the text).  component_id is null where
 no row has an id.
-Repeated doc_ids: rows of one id are in one component and kept or left out together.  An empty table gives an empty result; extra
-columns of the input are ignored.
+Repeated doc_ids: rows of one id are in one component and kept or left out together; keep_one leaves
+one row for each different set of shingles of the kept id.  Which rows link does not depend on their
+order.  An empty table gives an empty result; extra columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from .textvec import WordHasher, shingle_sets
 SIGNATURE, BANDS, BATCH = 128, 32, 32  # hashes, bands of 4 hashes, hashes per comparison step
 NUMERATOR, DENOMINATOR = 75, 100  # similarity threshold as a fraction, compared in integers
 MISS = 1e-5  # posterior probability under which a pair is dropped
-BLOCK = 512  # documents on a side of a block
+BLOCK, SET_BLOCK = 1024, 512  # documents on a side of a block of signatures, and of sets
 
 
 def min_matches(threshold: float, miss: float, n_hashes: int, batch: int) -> list[tuple[int, int]]:
@@ -128,15 +130,45 @@ def _confirm(batches: Iterator) -> Iterator:
         yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
+class _Block:
+    """The documents of one block pair and their plausible partners in other components."""
+
+    def __init__(self, group: pa.Table):
+        self.steps = min_matches(NUMERATOR / DENOMINATOR, MISS, SIGNATURE, BATCH)
+        self.ids, self.part, self.comp = (np.asarray(group.column(c).to_numpy()) for c in ("id", "part", "comp"))
+        self.sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(-1, SIGNATURE)
+        self.lo, self.hi = int(group.column("lo")[0].as_py()), int(group.column("hi")[0].as_py())
+
+    def partners(self) -> Iterator[tuple[int, np.ndarray]]:
+        sig, comp, words = self.sig, self.comp, self.sig.view(np.uint32)
+        rows, cols = np.flatnonzero(self.part == self.lo), np.flatnonzero(self.part == self.hi)
+        for i in rows:
+            js = cols[(cols > i) if self.lo == self.hi else slice(None)]
+            js = js[comp[js] != comp[i]]
+            js = js[(words[js] == words[i]).any(1)]  # a shared band makes a candidate
+            seen, done = np.zeros(len(js), np.int32), 0
+            for n, need in self.steps:
+                seen = seen + (sig[js, done:n] == sig[i, done:n]).sum(1, dtype=np.int32)
+                js, seen, done = js[seen >= need], seen[seen >= need], n
+            if len(js):
+                yield i, js
+
+
+def _block_likely(group: pa.Table) -> pa.Table:
+    """The documents of one block pair that have a plausible partner, under the block pair's name."""
+    block = _Block(group)
+    likely = np.zeros(len(block.ids), bool)
+    for i, js in block.partners():
+        likely[i] = True
+        likely[js] = True
+    return group.select(["block", "id", "comp"]).rename_columns(["hub", "id", "comp"]).filter(pa.array(likely))
+
+
 def _block_links(group: pa.Table) -> pa.Table:
     """Links across components among the documents of one block pair (a spanning forest of them)."""
-    steps = min_matches(NUMERATOR / DENOMINATOR, MISS, SIGNATURE, BATCH)
-    ids, part, comp = (np.asarray(group.column(c).to_numpy()) for c in ("id", "part", "comp"))
-    sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(-1, SIGNATURE)
-    words = sig.view(np.uint32)
+    block = _Block(group)
+    ids, comp = block.ids, block.comp
     sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
-    lo, hi = int(group.column("lo")[0].as_py()), int(group.column("hi")[0].as_py())
-    rows, cols = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
     root = {int(c): int(c) for c in comp}
 
     def find(x: int) -> int:
@@ -146,14 +178,7 @@ def _block_links(group: pa.Table) -> pa.Table:
         return x
 
     out_a, out_b = [], []
-    for i in rows:
-        js = cols[(cols > i) if lo == hi else slice(None)]
-        js = js[comp[js] != comp[i]]
-        js = js[(words[js] == words[i]).any(1)]  # a shared band makes a candidate
-        seen, done = np.zeros(len(js), np.int32), 0
-        for n, need in steps:
-            seen = seen + (sig[js, done:n] == sig[i, done:n]).sum(1, dtype=np.int32)
-            js, seen, done = js[seen >= need], seen[seen >= need], n
+    for i, js in block.partners():
         for j in js:
             a, b = find(int(comp[i])), find(int(comp[j]))
             if a != b and similar(sets[i], sets[j]):
@@ -163,8 +188,16 @@ def _block_links(group: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
 
+def _dealt(rows: DataFrame, size: int) -> DataFrame:
+    """rows(hub, id, comp) dealt into block pairs (lo, hi) of about size rows a side for each hub."""
+    sizes = rows.groupBy("hub").agg(F.count("*").alias("n")).select("hub", F.ceil(F.col("n") / size).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("id", F.lit(size)), F.col("parts")).cast("int")
+    dealt = rows.join(sizes, "hub").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return dealt.select("hub", "id", "comp", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi")).withColumn("block", F.xxhash64("hub", "lo", "hi"))
+
+
 def components(scratch: common.Scratch, links: DataFrame, name: str) -> DataFrame:
-    """(id, comp): the smallest id reachable over links (a, b), for ids that have a link."""
+    """(id, comp), a written table: the smallest id reachable over links (a, b), for ids that have a link."""
     edges = scratch.keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{name}-0")
     last, k = None, 0
     while True:
@@ -178,13 +211,15 @@ def components(scratch: common.Scratch, links: DataFrame, name: str) -> DataFram
         scratch.drop(f"{name}-{k - 1}")
         state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if state == last:
-            return edges.groupBy("u").agg(F.min("v").alias("comp")).withColumnRenamed("u", "id")
+            found = scratch.keep(edges.groupBy("u").agg(F.min("v").alias("comp")).withColumnRenamed("u", "id"), name)
+            scratch.drop(f"{name}-{k}")
+            return found
         last = state
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs(doc_id, text)."""
-    return decisions(docs).drop("row")
+    return decisions(docs).drop("row", "node")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -198,7 +233,7 @@ def row_key():
 
 
 def decisions(docs: DataFrame) -> DataFrame:
-    """near_duplicates with the key (row) of each row."""
+    """near_duplicates with the key (row) of each row and its node, null for a wordless row without an id."""
     spark: SparkSession = docs.sparkSession
     common.small_batches(spark)
     scratch = common.Scratch(spark, "minhash")
@@ -207,15 +242,15 @@ def decisions(docs: DataFrame) -> DataFrame:
     found = docs.mapInArrow(_sketch, "row long, doc_id long, n_shingles long, node long, sig binary, bands array<long>")
     found = found.withColumn("node", F.coalesce("node", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id"))))  # wordless texts
     sketch = scratch.keep(found.withColumn("nth", F.monotonically_increasing_id()), "sketch")
-    known = sketch.where("sig is not null")
-    classes = scratch.keep(known.groupBy("node").agg(F.min("row").alias("rep"), F.count("*").alias("n")).where("n > 1"), "classes")
-    reps = known.join(classes, "node", "left").where("rep is null or rep = row").select(F.col("node").alias("id"), "sig", "bands", "row")
+    # Rows of a node have equal sets, so any row's signature and bands are the node's.
+    reps = sketch.where("sig is not null").groupBy(F.col("node").alias("id")).agg(F.min("row").alias("row"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    reps = scratch.keep(reps, "reps")
 
     rows = reps.select("id", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub <> top").select("key", "hub")
     buckets = scratch.keep(rows.join(shared, "key"), "buckets")
-    ids = buckets.select("id").distinct()
-    sigs = scratch.keep(reps.select("id", "sig", "row").join(ids, "id").dropDuplicates(["id"]), "sigs")
+    sigs = scratch.keep(reps.select("id", "sig", "row").join(buckets.select("id").distinct(), "id"), "sigs")
+    scratch.drop("reps")
 
     def side(table: DataFrame, key: str, value: str) -> DataFrame:
         return table.select(F.col("id").alias(key), F.col(table.columns[1]).alias(f"{value}_{key}"))
@@ -229,45 +264,51 @@ def decisions(docs: DataFrame) -> DataFrame:
 
     sets = sets_of(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "sets")
     stars = scratch.keep(likely.join(side(sets, "a", "set"), "a").join(side(sets, "b", "set"), "b").mapInArrow(_confirm, "a long, b long"), "stars")
-    scratch.drop("sets")
+    scratch.drop("sets", "likely")
     several = sketch.where("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("hi")).where("b <> hi").select("doc_id", "b")
     same_id = sketch.select("doc_id", F.col("node").alias("a")).join(several, "doc_id").where("a <> b").select("a", "b").distinct()
     stars = stars.unionByName(scratch.keep(same_id, "same-id"))
-    comps = scratch.keep(components(scratch, stars, "star-cc"), "comps-1")
+    comps = components(scratch, stars, "star-cc")
 
-    placed = buckets.join(comps, "id", "left").select("key", "hub", "id", F.coalesce("comp", "id").alias("comp"))
+    # The hub of a bucket has met all of it, so only the others are still to be compared.
+    placed = buckets.where("id <> hub").join(comps, "id", "left").select("key", "hub", "id", F.coalesce("comp", "id").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     open_rows = scratch.keep(placed.join(mixed, "key").select("hub", "id", "comp").distinct(), "open")
-    sizes = open_rows.groupBy("hub").agg(F.count("*").alias("n")).select("hub", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
-    sets = sets_of(open_rows.select("id").distinct(), "open-sets")
-    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    dealt = open_rows.join(sizes, "hub").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("hub", "id", "comp", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
-    blocks = dealt.join(sigs.select("id", "sig"), "id").join(sets, "id")
+    own = sigs.select("id", "sig")
+    marked = scratch.keep(_dealt(open_rows, BLOCK).join(own, "id").groupBy("hub", "lo", "hi").applyInArrow(_block_likely, "hub long, id long, comp long"), "marked")
+    sets = sets_of(marked.select("id").distinct(), "open-sets")
+    blocks = _dealt(marked, SET_BLOCK).join(own, "id").join(sets, "id")
     rest = scratch.keep(blocks.groupBy("hub", "lo", "hi").applyInArrow(_block_links, "a long, b long"), "rest")
-    links = stars.unionByName(rest)
-    comps = scratch.keep(components(scratch, links, "cc"), "comps")
+    final = components(scratch, stars.unionByName(rest), "cc").select(F.col("id").alias("node"), "comp")
+    scratch.drop("buckets", "sigs", "stars", "same-id", "star-cc", "open", "marked", "open-sets", "rest")
 
-    final = comps.select(F.col("id").alias("node"), "comp")
-    rows = sketch.select("row", "nth", "doc_id", "n_shingles", "node").join(final, "node", "left").withColumn("root", F.coalesce("comp", "node"))
+    rows = sketch.select("row", "nth", "doc_id", "n_shingles", "node")
+    bare = rows.where("node is null").select("row", "node", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    rows = rows.where("node is not null").join(final, "node", "left").withColumn("root", F.coalesce("comp", "node"))
     groups = rows.groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select("root", "least")
-    first = rows.where("doc_id is null and root is not null").groupBy("root").agg(F.min(F.struct("row", "nth")).alias("first"))
+    first = rows.where("doc_id is null").groupBy("root").agg(F.min(F.struct("row", "nth")).alias("first"))
     out = rows.join(scratch.keep(groups, "groups"), "root", "left").join(scratch.keep(first, "first"), "root", "left")
     component = F.coalesce("least", "doc_id")
-    alone = F.col("root").isNull() | component.isNull() & (F.col("nth") == F.col("first.nth"))
-    return out.select("row", "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, alone, F.lit(False)).alias("kept"))
+    alone = component.isNull() & (F.col("nth") == F.col("first.nth"))
+    kept = F.coalesce(F.col("doc_id") == component, alone, F.lit(False))
+    return out.select("row", "node", "doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept")).unionByName(bare)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose document is the kept one of its group, with all columns of docs."""
+    """The rows of docs whose document is the kept one of its group, with all columns of docs.
+
+    Of the kept id's rows with the same set of shingles one stays: that of the smallest hash of its
+    text, and of rows with equal texts that of the smallest hash of all columns.
+    """
     scratch = common.Scratch(docs.sparkSession, "minhash-gone")
-    found = decisions(docs).groupBy("row").agg(F.max("kept").alias("kept"), F.min("kept").alias("all"))
-    found = scratch.keep(found.where("not all").withColumnRenamed("row", "__row"), "gone")
-    gone, once = found.where("not kept").select("__row"), found.where("kept").select("__row")
+    found = scratch.keep(decisions(docs).where("node is not null").select("row", "doc_id", "node", "kept"), "found")
+    stay = scratch.keep(found.where("kept").groupBy("doc_id", "node").agg(F.min("row").alias("row")).select("row"), "stay")
+    gone = scratch.keep(found.select("row").distinct().join(stay, "row", "left_anti").select(F.col("row").alias("__row")), "gone")
     kept = docs.join(gone, row_key() == gone["__row"], "left_anti")
+    again = found.groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select("row")
+    once = scratch.keep(stay.join(again, "row", "left_semi").select(F.col("row").alias("__row")), "once")
     if once.isEmpty():
         return kept
-    # equal texts with a null doc_id, of which one row is kept
-    rows = kept.join(F.broadcast(once), row_key() == once["__row"])
+    rows = kept.join(once, row_key() == once["__row"])
     one = rows.groupBy("__row").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("r")).select("r.*")
     return kept.join(once, row_key() == once["__row"], "left_anti").unionByName(one)

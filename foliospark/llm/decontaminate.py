@@ -6,10 +6,17 @@ k + 1 pieces, at least one piece occurs unchanged in any passage within k edits.
 automaton finds the pieces in whole texts; around each hit a window of the item's length plus k
 on both sides is verified with Myers' bit-parallel edit distance of the item to any substring.
 
-Defined results: null or empty texts and items without letters or digits match nothing.  Null
+Items are normalised and written in blocks to the shared folder, and workers read a block from there
+and keep its automaton for later tasks, so no item comes to the driver.  Each block is one pass over
+the documents.
+
+Defined results: null or empty texts and items without letters or digits match nothing.  An item of
+any length matches anywhere, within words too, so one of a few letters is found in most texts: leave
+such out of the benchmark table if that is not wanted.  Null
 doc_id or item_id: reported as null.  Repeated documents or items are reported each by itself;
 of several places in one document the least distance counts (ties: the first).  Empty tables
-give an empty result.  Extra columns are ignored.
+give an empty result.  Extra columns are ignored.  drop_contaminated judges each row by its own
+text, whatever rows share its doc_id.
 """
 
 from __future__ import annotations
@@ -24,7 +31,7 @@ from pyspark.sql import functions as F
 from . import common
 
 RATE = 0.05  # edits per character of the item
-BLOCK_CHARS = 4 << 20  # characters of items searched at a time; more items make more passes
+BLOCK_CHARS = 4 << 20  # characters of items searched at a time, about; more items make more passes
 SCHEMA = "doc_id long, item_id long, distance int, first int, last int"
 
 
@@ -72,11 +79,13 @@ class Matcher:
     def __init__(self, items: list[tuple[int | None, str]], rate: float):
         import ahocorasick
 
-        self.items, self.masks, where = [], [], {}
+        self.items, self.masks, where, named = [], [], {}, {}
         for item_id, text in items:
+            named.setdefault(text, []).append(item_id)
+        for text, item_ids in named.items():
             k, parts = pieces(text, rate)
             number = len(self.items)
-            self.items.append((item_id, text, k))
+            self.items.append((item_ids, text, k))
             self.masks.append(None)
             for offset, part in parts:
                 where.setdefault(part, []).append((number, offset))
@@ -105,38 +114,56 @@ class Matcher:
                     known.append([lo, hi])
         found = []
         for number, windows in sorted(spans.items()):
-            item_id, item, k = self.items[number]
+            item_ids, item, k = self.items[number]
             if self.masks[number] is None:
                 self.masks[number] = peq(item)
             best = None
             for lo, hi in windows:
-                if len(item) < 8 and f" {item} " not in f" {text[max(0, lo - 1):hi + 1]} ":
-                    continue  # so short an item has to stand as words of its own
                 at = text.find(item, lo, hi)
                 distance, end = (0, at + len(item) - lo) if at >= 0 else myers(self.masks[number], len(item), text[lo:hi])
                 if distance <= k and (best is None or distance < best[0]):
                     best = (distance, max(0, lo + end - len(item) - distance), lo + end)
             if best:
-                found.append((item_id, *best))
+                found += [(item_id, *best) for item_id in item_ids]
         return found
 
 
+def _normalised(batches: Iterator) -> Iterator:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("item_id"), normalise(batch.column("text"))], ["item_id", "text"])
+
+
+def _matcher(folder: str, rate: float) -> Matcher:
+    """The matcher of the items in a written block; a worker keeps the last one."""
+    import pyarrow.dataset as ds
+    from pyarrow.fs import FileSystem
+
+    cache = common.worker_cache()
+    if cache.get("matcher", (None,))[0] != (folder, rate):
+        fs, path = FileSystem.from_uri(folder)
+        items = ds.dataset(path, schema=pa.schema([("item_id", pa.int64()), ("text", pa.string())]), filesystem=fs, format="parquet").to_table()
+        rows = zip(items.column("item_id").to_pylist(), items.column("text").to_pylist())
+        cache["matcher"] = ((folder, rate), Matcher(list(rows), rate))
+    return cache["matcher"][1]
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, distance, first, last) for docs(doc_id, text) and benchmark(item_id, text).
 
-    Positions count characters of the normalised text.  Test items come to the driver in blocks
-    of at most block_chars characters (one item may exceed it), and each block is one pass.
+    Positions count characters of the normalised text.  Blocks hold about block_chars characters.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
+    scratch = common.Scratch(spark, "items")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out, block, size = None, [], 0
-
-    def search(items: list[tuple[int | None, str]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(items)
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    items = scratch.keep(items.mapInArrow(_normalised, "item_id long, text string").where("text <> ''"), "all")
+    blocks = max(1, -(-(items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0) // block_chars))
+    block = F.pmod(F.xxhash64("text"), F.lit(blocks))  # equal items share one
 
+    def search(folder: str) -> DataFrame:
         def run(batches: Iterator) -> Iterator:
-            matcher = Matcher(shared.value, rate)
+            matcher = _matcher(folder, rate)
             for batch in batches:
                 found = []
                 for doc_id, text in zip(batch.column("doc_id").to_pylist(), normalise(batch.column("text")).to_pylist()):
@@ -147,18 +174,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_cha
 
         return rows.mapInArrow(run, SCHEMA)
 
-    for row in benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).toLocalIterator():
-        text = normalise(pa.array([row["text"]], pa.string()))[0].as_py()
-        if not text:
-            continue
-        if block and size + len(text) > block_chars:
-            found = search(block)
-            out, block, size = found if out is None else out.unionByName(found), [], 0
-        block.append((row["item_id"], text))
-        size += len(text)
-    if block or out is None:
-        found = search(block)
+    out = None
+    for b in range(blocks):
+        scratch.keep(items.where(block == b), f"block-{b}")
+        found = search(scratch.path(f"block-{b}"))
         out = found if out is None else out.unionByName(found)
+    scratch.drop("all")
     return out
 
 

@@ -4,11 +4,16 @@ Largest inner product becomes nearest distance in one more dimension: with R the
 x' = (x, sqrt(R^2 - |x|^2)) and q' = (q * R / |q|, 0) give |q' - x'|^2 = 2 R^2 - 2 R (q . x) / |q|,
 so the triangle inequality prunes exactly.  Rows are dealt to shards by hash; each shard keeps its
 distinct vectors in a vantage-point tree (a row each in a written table).  A subtree is skipped
-when relax * (distance to its shell) exceeds the query's k-th best so far: relax 1 is exact,
-larger values skip more.  A block of queries
+when relax * (distance to its shell) exceeds the query's k-th best so far by more than rounding can
+explain: relax 1 is exact, larger values skip more.  A block of queries
 walks a tree twice, to each query's own leaf and then to whatever its k-th best leaves open, so
-every node is visited by one group of queries at a time.  Blocks of queries meet shards by an equi-join on the shard number, and the
-best of each shard are merged in rounds of 64 shards.
+every node is visited by one group of queries at a time.  In leaves candidates are ranked by the
+inner product itself, summed in order of components in double precision, and by vec_id, so ties
+between different vectors are exact too.
+
+Groups of query blocks meet each shard's tree in a cogroup by shard and group, so tasks are shards
+times groups; a tree is sent once to each group.  The best of each shard are merged in rounds of 64
+shards.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and those of
 another length than most (ties: the shorter), take no part.  Null vec_id: no part.  Repeated
@@ -29,6 +34,8 @@ from pyspark.sql import functions as F
 from . import common
 
 SHARD_ROWS, QUERY_ROWS, LEAF, MERGE = 8192, 256, 128, 64
+GROUP_BLOCKS = 8  # query blocks that meet a tree in one task
+SLACK = 1e-11  # of R^2: more than rounding moves a squared distance
 
 
 def _pack(**arrays: np.ndarray) -> bytes:
@@ -75,7 +82,7 @@ class Tree:
                 far = np.sqrt(((points[rows] - points[vantage]) ** 2).sum(1))
                 middle = float(np.median(far))
                 inner = far <= middle
-                if not inner.all():
+                if inner.any() and not inner.all():
                     nodes[at][0], radius[at] = vantage, middle
                     todo += [(rows[inner], at, 1), (rows[~inner], at, 2)]
                     continue
@@ -87,28 +94,33 @@ class Tree:
         points, order, nodes, radius, ids, ends = (self.a[n] for n in ("points", "order", "nodes", "radius", "ids", "ends"))
         size = np.sqrt((queries * queries).sum(1, keepdims=True))
         q = np.column_stack((queries * (norm / size), np.zeros(len(queries))))
-        keep = min(k + 1, len(points))  # one more: a query may meet itself
-        best = np.full((len(q), keep), np.inf)
-        best_row = np.full((len(q), keep), -1)
-        leaf_points = points[order]
-        squares, q_squares = (leaf_points * leaf_points).sum(1), (q * q).sum(1)
-
+        begins = np.concatenate(([0], ends[:-1]))
+        least, most = ids[begins], ids[ends - 1]
+        second = ids[np.minimum(begins + 1, ends - 1)]  # of equal rows one is kept, so the ids of a vector differ
+        leaf_vectors = np.ascontiguousarray(points[order][:, :-1].T)  # one row per component
+        none = np.iinfo(np.int64).max
+        best = np.full((len(q), k), -np.inf)
+        best_id = np.full((len(q), k), none)
+        best_row = np.full((len(q), k), -1)
         home = np.full(len(q), -1)
 
         def scan(first: int, last: int, active: np.ndarray) -> None:
-            far = q_squares[active, None] + squares[first:last] - 2 * q[active] @ leaf_points[first:last].T
-            far = np.sqrt(np.maximum(far, 0))
-            some = far.min(1) < best[active, -1]
-            active, far = active[some], far[some]
+            """Keeps the k best vectors by score and smallest id that is not the query's."""
+            score = np.zeros((len(active), last - first))
+            for component, own in zip(leaf_vectors[:, first:last], queries[active].T):
+                score += own[:, None] * component
+            some = score.max(1) >= best[active, -1]
+            active, score = active[some], score[some]
             if not len(active):
                 return
-            both = np.concatenate((best[active], far), 1)
-            rows = np.concatenate((best_row[active], np.broadcast_to(order[first:last], far.shape)), 1)
-            if keep < both.shape[1]:
-                pick = np.argpartition(both, keep - 1, 1)[:, :keep]
-                both, rows = np.take_along_axis(both, pick, 1), np.take_along_axis(rows, pick, 1)
-            sort = np.argsort(both, 1, kind="stable")
-            best[active], best_row[active] = np.take_along_axis(both, sort, 1), np.take_along_axis(rows, sort, 1)
+            rows, own = order[first:last], query_ids[active][:, None]
+            lowest = np.where(least[rows] != own, least[rows], second[rows])
+            itself = (least[rows] == own) & (most[rows] == own)  # no other id has this vector
+            both = np.concatenate((best[active], np.where(itself, -np.inf, score)), 1)
+            low = np.concatenate((best_id[active], np.where(itself, none, lowest)), 1)
+            at = np.concatenate((best_row[active], np.where(itself, -1, rows)), 1)
+            sort = np.lexsort((low, -both), 1)[:, :k]
+            best[active], best_id[active], best_row[active] = (np.take_along_axis(x, sort, 1) for x in (both, low, at))
 
         def visit(node: int, active: np.ndarray, widen: bool) -> None:
             """First each query goes to its home leaf; then all others within its k-th best."""
@@ -125,21 +137,25 @@ class Tree:
                 return
             far = np.sqrt(((q[active] - points[vantage]) ** 2).sum(1))
             into = far <= radius[node]
-            shell = np.abs(far - radius[node]) * relax
-            near = lambda: shell <= best[active, -1] + 1e-9 if widen else np.zeros(len(active), bool)
+            shell = ((far - radius[node]) * relax) ** 2
+
+            def near() -> np.ndarray:
+                if not widen:
+                    return np.zeros(len(active), bool)
+                bound = 2 * norm**2 - 2 * norm * best[active, -1] / size[active, 0]
+                return ~(shell > bound + SLACK * norm**2)
+
             visit(inner, active[into | near()], widen)
             visit(outer, active[~into | near()], widen)
 
         visit(0, np.arange(len(q)), False)
         visit(0, np.arange(len(q)), True)
-        original = points[:, :-1]
         for i, query_id in enumerate(query_ids):
             found = []
-            for row in best_row[i][best_row[i] >= 0]:
-                score = float(np.cumsum(original[row] * queries[i])[-1])  # in order of components
-                own = ids[ends[row - 1] if row else 0 : ends[row]]
-                own = own[own != query_id]
-                found += [(-score, int(x)) for x in own[: k + 1]]
+            for score, row in zip(best[i], best_row[i]):
+                if row >= 0:
+                    own = ids[begins[row] : min(ends[row], begins[row] + k + 1)]
+                    found += [(-float(score), int(x)) for x in own if x != query_id]
             found.sort()
             yield int(query_id), [x for _, x in found[:k]], [-s for s, _ in found[:k]]
 
@@ -180,23 +196,23 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, relax: float = 1.0, shard
     blocks = asked.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(parts)).cast("int")).groupBy("part").applyInArrow(block, "part int, queries binary")
     blocks = scratch.keep(blocks, "queries").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
-    def search(batches: Iterator) -> Iterator:
-        for batch in batches:
-            last, tree = None, None
-            for shard, packed, asked_ in zip(batch.column("shard").to_pylist(), batch.column("tree"), batch.column("queries")):
-                if shard != last:
-                    last, tree = shard, Tree(np.load(io.BytesIO(packed.as_buffer())))
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        q, ids, scores = [], [], []
+        for packed in left.column("tree"):
+            tree = Tree(np.load(io.BytesIO(packed.as_buffer())))
+            for asked_ in right.column("queries"):
                 own = np.load(io.BytesIO(asked_.as_buffer()))
-                found = list(tree.search(own["ids"], own["vectors"], norm, k, relax))
-                q, ids, scores = zip(*found) if found else ((), (), ())
-                at = pa.array([0, *np.cumsum([len(x) for x in ids])], pa.int32())
-                flat = pa.StructArray.from_arrays([pa.array([-s for x in scores for s in x], pa.float64()), pa.array([i for x in ids for i in x], pa.int64())], ["loss", "vec_id"])
-                columns = [pa.array(q, pa.int64()), pa.array([shard] * len(q), pa.int32()), pa.ListArray.from_arrays(at, flat)]
-                yield pa.RecordBatch.from_arrays(columns, ["query_id", "shard", "found"])
-
-    # A few rows a batch: each carries a tree.
-    pairs = blocks.repartition(max(1, min(shards * parts, 4096)), "shard", "part").join(trees, "shard")
-    found = pairs.select("shard", "tree", "queries").mapInArrow(search, "query_id long, shard int, found array<struct<loss:double,vec_id:long>>")
+                for query_id, found, score in tree.search(own["ids"], own["vectors"], norm, k, relax):
+                    q.append(query_id), ids.append(found), scores.append(score)
+        at = pa.array([0, *np.cumsum([len(x) for x in ids])], pa.int32())
+        flat = pa.StructArray.from_arrays([pa.array([-s for x in scores for s in x], pa.float64()), pa.array([i for x in ids for i in x], pa.int64())], ["loss", "vec_id"])
+        shard = left.column("shard")[0].as_py() if len(left) else 0
+        return pa.table({"query_id": pa.array(q, pa.int64()), "shard": pa.array([shard] * len(q), pa.int32()), "found": pa.ListArray.from_arrays(at, flat)})
+
+    groups = -(-parts // GROUP_BLOCKS)
+    sent = trees.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    met = sent.groupBy("shard", "grp").cogroup(blocks.withColumn("grp", F.pmod("part", F.lit(groups)).cast("int")).groupBy("shard", "grp"))
+    found = met.applyInArrow(search, "query_id long, shard int, found array<struct<loss:double,vec_id:long>>")
     while True:
         found = found.groupBy("query_id", F.floor(F.col("shard") / MERGE).cast("int").alias("shard")).agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k).alias("found"))
         if shards <= MERGE:

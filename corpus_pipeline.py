@@ -2,7 +2,22 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, with their columns;
 the last returns what its token tables hold.  run() writes every stage's result as Parquet into
-the shared folder and reads it again, so a lost executor costs one stage's tasks at most.
+the shared folder and reads it again, so a lost executor costs one stage's tasks at most; what the
+stage wrote besides is removed then.
+
+Defined results, for each stage over whatever the stage before kept:
+
+* Null doc_id: such rows are judged, dropped, mixed and encoded like others, each by its own text.
+* Null, empty or wordless text: never toxic by words (the model's intercept decides), no near copy of
+  anything, holds no test item, and has no words to mix, so the mix leaves it out.
+* Very long texts are read whole everywhere.
+* Repeated rows: near-dedup leaves one of the rows with equal doc_id and equal shingles; rows of one
+  doc_id with different texts belong to one group and stay together if theirs is the kept id.  The
+  mix may then repeat any row, at most twice.
+* Ties: the smallest doc_id of a group stays; equal rows stand in for each other.
+* Empty tables: documents give an empty result; without labels nothing is toxic, without benchmark
+  nothing is contaminated.
+* Extra columns come through unchanged, whatever their names; the last stage returns its own.
 """
 
 from __future__ import annotations
@@ -10,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from foliospark.llm import decontaminate, minhash_dedup, source_mix, token_tables, toxicity
-from foliospark.llm.common import Scratch, table
+from foliospark.llm.common import Scratch, drop_since, mark, table
 from foliospark.llm.queries import tokenizer_path
 
 
@@ -49,7 +64,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch, docs, last = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
+        begun = mark()
         docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        drop_since(spark, begun)
         if last:
             scratch.drop(last)
         last = name

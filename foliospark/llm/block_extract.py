@@ -31,6 +31,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -61,8 +62,15 @@ DROP_ROLES = frozenset("alert banner complementary contentinfo dialog form menu
 LONG, SHORT = 60, 25  # characters: longer is judged by stop words, shorter stays open
 STOP_HIGH, STOP_LOW, LINKS = 0.30, 0.12, 0.35  # shares of stop words and of linked characters
 
-_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/>]|\Z)", re.I)
+# A quote delimits a value only where the value begins with it.
+_TOKEN = re.compile(
+    r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>\x00]*)"
+    r"((?:[^>=]|=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|=\s*[^\s>\"'][^\s>]*|=(?=\s*(?:>|\Z)))*+)(?:>|\Z)",
+    re.S,
+)
+_ATTR = re.compile(r"([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>\"'][^\s>]*)))?")
+_TELLING = re.compile(r"class|id|role|hidden|style", re.I)
+_UNQUOTED = re.compile(r"=\s*[^\s\"'=>]*/\Z")  # the slash belongs to a value
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in RAW_TAGS}
 _NAME = re.compile(r"[^a-zA-Z0-9]+|(?<=[a-z])(?=[A-Z])")
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -82,6 +90,20 @@ class Named:
     article: int | None = None  # those in articles of its own; None: there is no text in such
 
 
+@dataclass(frozen=True, eq=False)
+class _Place:
+    """What an open element makes of the text in it."""
+
+    dropped: bool
+    inside: bool  # an article or main element
+    container: int
+    named: Named | None
+    depth: int
+
+
+_TOP = _Place(False, False, 0, None, 0)
+
+
 @dataclass
 class Block:
     text: str
@@ -95,30 +117,31 @@ class Block:
     depth: int = 0
 
 
-def _dropped(tag: str, attributes: str, in_article: bool) -> bool:
+def _attributes(raw: str) -> dict[str, str]:
+    if not raw or not _TELLING.search(raw):
+        return {}
+    found: dict[str, str] = {}
+    for m in _ATTR.finditer(raw):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return found
+
+
+def _dropped(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
     if tag in DROP_TAGS or tag == "header" and not in_article:
         return True
-    if not attributes:
-        return False
-    for m in _ATTR.finditer(attributes):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "hidden" and not value or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name == "role" and value.lower() in DROP_ROLES or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-    return False
-
-
-def _names(attributes: str) -> set[str]:
+    hidden = "hidden" in attributes and attributes["hidden"].lower() != "until-found" or attributes.get("aria-hidden", "").lower() == "true"
+    return hidden or attributes.get("role", "").lower() in DROP_ROLES or re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I) is not None
+
+
+def _names(attributes: dict[str, str]) -> set[str]:
     """Words of class and id that drop an element."""
     found = set()
-    for m in _ATTR.finditer(attributes):
-        if m[1].lower() in ("class", "id"):
-            for compound in (m[2] or m[3] or m[4] or "").split():
-                parts = [p.lower() for p in _NAME.split(compound) if p]
-                names = DROP_NAMES.intersection(parts)
-                if names and not _layout(parts):
-                    found |= names
+    for value in (attributes.get("class", ""), attributes.get("id", "")):
+        for compound in value.split():
+            parts = [p.lower() for p in _NAME.split(compound) if p]
+            names = DROP_NAMES.intersection(parts)
+            if names and not _layout(parts):
+                found |= names
     return found
 
 
@@ -126,24 +149,70 @@ def _layout(parts: list[str]) -> bool:
     return parts[0] in LAYOUT_FIRST or parts[-1] in LAYOUT_LAST and not LAYOUT_CONTENT.isdisjoint(parts) and FIRM_NAMES.isdisjoint(parts)
 
 
+class _Open:
+    """The open elements, from the outside in."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, _Place]] = []
+        self.at: dict[str, list[int]] = {}  # where each tag is open
+        self.blocks: list[int] = []  # where block-level elements are
+        self.walls: list[int] = []  # where those are that a start tag of a list item or paragraph does not close
+
+    def place(self) -> _Place:
+        return self.stack[-1][1] if self.stack else _TOP
+
+    def block_place(self) -> _Place:
+        return self.stack[self.blocks[-1]][1] if self.blocks else _TOP
+
+    def push(self, tag: str, place: _Place) -> None:
+        k = len(self.stack)
+        self.at.setdefault(tag, []).append(k)
+        if tag in BLOCK_TAGS:
+            self.blocks.append(k)
+            if tag not in SELF_CLOSING:
+                self.walls.append(k)
+        self.stack.append((tag, place))
+
+    def innermost(self, tag: str, bounds: list[int]) -> int | None:
+        """Where the tag is open within the innermost one of bounds."""
+        found = self.at.get(tag)
+        return found[-1] if found and (not bounds or found[-1] >= bounds[-1]) else None
+
+    def close(self, k: int) -> None:
+        while len(self.stack) > k:
+            tag, _ = self.stack.pop()
+            self.at[tag].pop()
+            for bounds in (self.blocks, self.walls):
+                if bounds and bounds[-1] == len(self.stack):
+                    bounds.pop()
+
+
 def blocks(html: str) -> list[Block]:
+    """The text blocks of a page in order.  What inline elements drop is left out of their block."""
     from html import unescape
 
     out: list[Block] = []
-    parts: list[tuple[str, bool]] = []
-    top = ("", False, False, 0, None, 0)
-    stack: list[tuple[str, bool, bool, int, Named | None, int]] = []  # tag, dropped, in article, container, named, depth
+    parts: list[tuple[str, bool, _Place]] = []
+    open_ = _Open()
     links = heading = serial = 0
 
+    def emit(own: list[tuple[str, bool, _Place]], place: _Place) -> bool:
+        text = " ".join(unescape("".join(p for p, _, _ in own)).split())
+        if text:
+            linked = sum(len(" ".join(unescape(p).split())) for p, a, _ in own if a)
+            out.append(Block(text, linked, place.dropped, heading > 0, place.inside, place.container, named=place.named, depth=place.depth))
+        return bool(text)
+
     def flush() -> None:
         nonlocal parts
         if parts:
-            raw = "".join(p for p, _ in parts)
-            text = " ".join(unescape(raw).split())
-            if text:
-                own = stack[-1] if stack else top
-                linked = sum(len(" ".join(unescape(p).split())) for p, a in parts if a)
-                out.append(Block(text, linked, own[1], heading > 0, own[2], own[3], named=own[4], depth=own[5]))
+            base = open_.block_place()
+            fate = (base.dropped, base.named)
+            own = [p for p in parts if (p[2].dropped, p[2].named) == fate]
+            if not emit(own, base):
+                for _, group in groupby((p for p in parts if (p[2].dropped, p[2].named) != fate), lambda p: (p[2].dropped, id(p[2].named))):
+                    group = list(group)
+                    emit(group, group[0][2])
             parts = []
 
     at = 0
@@ -151,16 +220,17 @@ def blocks(html: str) -> list[Block]:
         m = _TOKEN.search(html, at)
         stop = m.start() if m else len(html)
         if stop > at:
-            parts.append((html[at:stop], links > 0))
+            parts.append((html[at:stop], links > 0, open_.place()))
         if not m:
             break
         at = m.end()
         if m[0].startswith("<![CDATA["):
-            parts.append((m[0][9:].removesuffix("]]>"), links > 0))
+            parts.append((m[0][9:].removesuffix("]]>"), links > 0, open_.place()))
         if not m[2]:
             continue
         closing, tag = m[1], m[2].lower()
-        if not closing and tag in _RAW_END and not m[3].endswith("/"):
+        bare = not closing and m[3].endswith("/") and not _UNQUOTED.search(m[3])
+        if not closing and tag in _RAW_END and not bare:
             end = _RAW_END[tag].search(html, at)
             at = end.end() if end else len(html)
             if tag in BLOCK_TAGS:
@@ -170,46 +240,37 @@ def blocks(html: str) -> list[Block]:
             flush()
         if tag == "a":
             links = max(0, links + (-1 if closing else 1))
-        if tag in VOID_TAGS or not closing and m[3].endswith("/"):
-            continue
-        if tag not in BLOCK_TAGS and tag not in DROP_TAGS and not (m[3] and _ATTR.search(m[3])) and not (closing and any(s[0] == tag for s in stack[-8:])):
+        if tag in VOID_TAGS or bare:
             continue
         if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
             heading = 0 if closing else 1
-        if not closing:
-            if tag in SELF_CLOSING:  # opening one closes an open one beside it
-                for k in range(len(stack) - 1, max(-1, len(stack) - 6), -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
-                    if stack[k][0] in BLOCK_TAGS and stack[k][0] not in SELF_CLOSING:
-                        break
-            up = stack[-1] if stack else top
-            inside = up[2] or tag in ("article", "main")
-            drop = up[1] or _dropped(tag, m[3], up[2])
-            names = _names(m[3]) if m[3] and not drop and tag not in ("html", "body") and not (up[2] and tag == "header") else ()
-            serial += 1
-            named, depth = up[4], up[5]
-            if tag in ("article", "main"):
-                depth += not names
-                if named and tag == "main" and not drop:
-                    named.main = True
-            elif names:
-                named = Named(serial, named, not FIRM_NAMES.isdisjoint(names), depth)
-            if (drop != up[1] or named is not up[4]) and tag not in BLOCK_TAGS:
-                flush()
-            own = serial if tag in ("article", "main", "section", "div", "body", "td", "blockquote") else up[3]
-            stack.append((tag, drop, inside, own, named, depth))
-        else:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    above = stack[k - 1] if k else top
-                    if stack[k][1] != above[1] or stack[k][4] is not above[4]:
-                        flush()
-                    del stack[k:]
-                    break
+        if closing:
+            k = open_.innermost(tag, [] if tag in BLOCK_TAGS else open_.blocks)  # an inline end tag closes no block
+            if k is not None:
+                open_.close(k)
             if tag in BLOCK_TAGS:
                 links = 0
+            continue
+        attributes = _attributes(m[3])
+        if tag not in BLOCK_TAGS and tag not in DROP_TAGS and not attributes:
+            continue
+        if tag in SELF_CLOSING:  # opening one closes an open one beside it
+            k = open_.innermost(tag, open_.walls)
+            if k is not None:
+                open_.close(k)
+        up = open_.place()
+        drop = up.dropped or _dropped(tag, attributes, up.inside)
+        names = _names(attributes) if attributes and not drop and tag not in ("html", "body") and not (up.inside and tag == "header") else ()
+        serial += 1
+        named, depth = up.named, up.depth
+        if tag in ("article", "main"):
+            depth += not names
+            if named and tag == "main" and not drop:
+                named.main = True
+        elif names:
+            named = Named(serial, named, not FIRM_NAMES.isdisjoint(names), depth)
+        own = serial if tag in ("article", "main", "section", "div", "body", "td", "blockquote") else up.container
+        open_.push(tag, _Place(drop, up.inside or tag in ("article", "main"), own, named, depth))
     flush()
     return out
 

@@ -10,11 +10,13 @@ to block r, so each source gets exactly its blocks and every stretch of the sche
 the weights.
 
 Prefix sums and ranks use two levels (stretches of bounded size, then totals of stretches), so
-no source is gathered in one task.
+no source is gathered in one task, nor are equal rows, which are numbered by written partition.
 
 Defined results: null text: size 0, taken 0.  Null source: a source of its own, last in order.
 Repeated or null doc_ids: each row is drawn for itself (rows are told apart by a row hash and a
-number within equal rows).  Sources without words: target 0.  Empty tables give empty results.
+number within equal rows, which stand in for each other).  Sources without words: target 0.  Empty
+tables give empty results.  mix() reads the named columns only; mixed_documents() keeps all columns,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -23,13 +25,14 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
 WEIGHTS = (5.0, 2.0, 1.0)  # by source in code-point order, repeating, null last
 SHARE, EPOCHS = 1.5, 2.0  # of all words; most times a source is read
 BLOCK_WORDS = 512
-MAX_SLOTS = 1 << 30  # i * g stays within 64 bits
+NARROW_SLOTS = 1 << 31  # up to so many, slot arithmetic fits 64 bits; beyond, it uses decimals
 STRETCH_ROWS = 4096  # rows in a stretch of a two-level prefix sum, about
 SLOT_CHUNK = 1 << 14
 
@@ -90,25 +93,37 @@ def _stretches(rows: DataFrame, keys: list[str], stretch: Column, order: list, v
     return rows.join(sums, [*keys, "__s"]).withColumn(out, F.col("__in") + F.col("__base")).drop("__s", "__in", "__base")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS, block_words: int = BLOCK_WORDS, seed: int = 1):
+def row_hash(columns: list[Column], seed: int) -> Column:
+    return F.xxhash64(*columns, F.lit(seed))
+
+
+def _whole_row(docs: DataFrame) -> list[Column]:
+    """Columns that together name a row; hashing takes no maps, so these go in as text."""
+    return [F.to_json(f.name) if isinstance(f.dataType, T.MapType) else docs[f.name] for f in docs.schema.fields]
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS, block_words: int = BLOCK_WORDS, seed: int = 1, equal: list[Column] | None = None):
     """(plan, schedule) for docs(doc_id, source, text).
 
-    plan: one row per document with row, doc_id, source, size, source_size, target, taken.
-    schedule: one row per slot and document in it with slot, source_no, block, row, doc_id,
-    first and last word position within the document (of the stream's pass).
+    plan: one row per document with row, h (equal for equal rows), doc_id, source, size, source_size,
+    target, taken.  schedule: one row per slot and document in it with slot, source_no, block, row,
+    doc_id, first and last word position within the document (of the stream's pass).
+    equal: the columns in which rows must agree to stand in for each other (doc_id, source, text).
     """
     spark = docs.sparkSession
     scratch = common.Scratch(spark, "mix")
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "source", "text", F.lit(seed)).alias("h"))
-    sized = scratch.keep(rows, "sized")
+    named = [F.col("doc_id"), F.col("source"), F.col("text")]
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), row_hash(equal or named, seed).alias("h"))
+    sized = scratch.keep(rows.withColumn("at", F.monotonically_increasing_id()).withColumn("one", F.lit(1).cast("long")), "sized")
     n_rows = sized.count()
-    equal = Window.partitionBy("h", "doc_id").orderBy("size")
-    sized = scratch.keep(sized.withColumn("copy", F.row_number().over(equal)).withColumn("row", F.xxhash64("h", "copy")), "rows")
+    # The upper bits of at are the partition that wrote the row, so equal rows share no larger window.
+    numbered = _stretches(sized, ["h"], F.shiftright("at", 33), [F.col("at")], "one", "copy", scratch)
+    sized = scratch.keep(numbered.drop("at", "one").withColumn("row", F.xxhash64("h", "copy")), "rows")
+    scratch.drop("sized", "stretches-copy")
 
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     aims = targets(spark, totals, weights, share, epochs).withColumn("aim", F.round("target").cast("long"))
-    total = aims.agg(F.sum("aim").alias("n")).first()["n"] or 0
-    block = max(block_words, -(-total // MAX_SLOTS))
+    block = block_words
     order = Window.orderBy(F.col("source").asc_nulls_last())
     aims = aims.withColumn("blocks", F.ceil(F.col("aim") / block).cast("long")).withColumn("source_no", F.row_number().over(order))
     aims = scratch.keep(aims.withColumn("first", F.coalesce(F.sum("blocks").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))), "aims")
@@ -119,7 +134,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     back = pow(step, -1, n) if n > 1 else 0
     chunks = aims.where("blocks > 0").select("source_no", "first", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(blocks - 1) div {SLOT_CHUNK}"))).alias("c"))
     points = chunks.repartition("source_no", "c").select("source_no", F.explode(F.expr(f"sequence(first + c * {SLOT_CHUNK}, first + least(blocks, (c + 1) * {SLOT_CHUNK}) - 1)")).alias("p"))
-    slots = points.select("source_no", ((F.col("p") * F.lit(back).cast("long")) % F.lit(max(n, 1)).cast("long")).alias("slot"), F.lit(1).cast("long").alias("one"))
+    wide = "long" if n <= NARROW_SLOTS else "decimal(19,0)"
+    slot = (F.col("p").cast(wide) * F.lit(back).cast(wide)) % F.lit(max(n, 1)).cast(wide)
+    slots = points.select("source_no", slot.cast("long").alias("slot"), F.lit(1).cast("long").alias("one"))
     slots = scratch.keep(_stretches(slots, ["source_no"], F.floor(F.col("slot") / STRETCH_ROWS), [F.col("slot")], "one", "block", scratch), "slots").select("source_no", "slot", "block")
 
     # Streams: documents in hash order; stretches are ranges of the hash.
@@ -136,7 +153,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     taken = schedule.groupBy("row", "doc_id").agg(F.sum(F.col("last") - F.col("first")).alias("taken"))
     taken = taken.select(F.col("row").alias("r"), F.col("doc_id").alias("d"), "taken")
     plan = streams.join(taken, (F.col("row") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d")), "left")
-    plan = plan.select("row", "h", "copy", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    plan = plan.select("row", "h", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     return plan, schedule
 
 
@@ -144,14 +161,22 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: each row as many times as the whole passes nearest to what is taken.
 
     taken / size rounds half up, so a document of which under half is taken is left out and one
-    read twice appears twice; columns are those of docs.
+    read twice appears twice; columns are those of docs.  Of equal rows one is repeated for all,
+    dealt out in chunks, so many of them are neither gathered nor numbered.
     """
-    seed = options.get("seed", 1)
-    plan, _ = mix(docs, **options)
-    times = plan.withColumn("n", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int"))
-    times = times.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("copy", "n"))).alias("__times"), F.max("n").alias("__most"))
-    times = times.where("__most > 0").select(F.col("h").alias("__h"), "__times")
-    own = docs.withColumn("__h", F.xxhash64("doc_id", "source", "text", F.lit(seed))).join(times, "__h")
-    own = own.withColumn("__copy", F.row_number().over(Window.partitionBy("__h").orderBy("doc_id")))
-    n = F.coalesce(F.get("__times", F.col("__copy") - 1)["n"], F.lit(0))
-    return own.withColumn("__n", F.explode(F.array_repeat(F.lit(1), n))).select(*docs.columns)
+    scratch, seed = common.Scratch(docs.sparkSession, "mixed"), options.get("seed", 1)
+    plan, _ = mix(docs, equal=_whole_row(docs), **options)
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0)
+    times = plan.groupBy(F.col("h").alias("__h")).agg(F.sum(times).cast("long").alias("__n"), F.count("*").alias("__rows"))
+    times = scratch.keep(times.where("__n > 0"), "times")
+    own = docs.withColumn("__h", row_hash(_whole_row(docs), seed))
+    single = own.join(times.where("__rows = 1"), "__h").withColumn("__n", F.explode(F.expr("sequence(1L, __n)")))
+    several = times.where("__rows > 1").select("__h", "__n")
+    out = single.select(*docs.columns)
+    if several.isEmpty():
+        return out
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    one = own.join(several, "__h", "left_semi").groupBy("__h").agg(F.first(whole).alias("__row"))
+    chunks = one.join(several, "__h").withColumn("__c", F.explode(F.expr(f"sequence(0L, (__n - 1) div {STRETCH_ROWS})")))
+    chunks = chunks.repartition("__h", "__c").withColumn("__i", F.explode(F.expr(f"sequence(1L, least({STRETCH_ROWS}L, __n - __c * {STRETCH_ROWS}))")))
+    return out.unionByName(chunks.select("__row.*"))

@@ -177,7 +177,8 @@ def test_mix_meets_its_targets(spark):
     assert np.abs(np.cumsum(hot) - share * np.arange(1, len(hot) + 1)).max() < 8  # low discrepancy
     whole = S.mixed_documents(docs, block_words=64)
     assert whole.columns == docs.columns
-    assert whole.count() == int(sum(math.floor(t / n + 0.5) for t, n in zip(out.taken, out["size"]) if n))
+    plan = S.mix(docs, block_words=64, equal=S._whole_row(docs))[0].toPandas()
+    assert whole.count() == int(sum(math.floor(t / n + 0.5) for t, n in zip(plan.taken, plan["size"]) if n))
 
 
 def test_mix_of_nothing(spark):

@@ -34,7 +34,7 @@ from .hashed_text import Matrix, feature_rows, margins, restrict, sample, sigmoi
 
 POSITIVES, UNLABELLED = 2000, 6000  # most rows to fit on
 STRICT = 3.0  # standard errors
-ROUNDS, STEPS = 12, 300
+ROUNDS, STEPS, LAST_STEPS = 6, 60, 300
 DECAY, LAST_DECAY = 1e-3, 5e-4  # quadratic penalties of the two steps
 THRESHOLD = 0.5
 
@@ -57,13 +57,13 @@ def pu_risk(gp: np.ndarray, gu: np.ndarray, prior: float) -> tuple[float, np.nda
     return lose + max(0.0, bracket), up - prior / n - sign * up, sign * uu, sign < 0
 
 
-def _steps(p: Matrix, u: Matrix, prior: float, penalty: np.ndarray, decay: float, w: np.ndarray, b: float) -> tuple[np.ndarray, float]:
+def _steps(p: Matrix, u: Matrix, prior: float, penalty: np.ndarray, decay: float, w: np.ndarray, b: float, steps: int = STEPS) -> tuple[np.ndarray, float]:
     """Accelerated proximal steps, each weight's length from a bound of the risk's curvature."""
     n, m = max(1, len(p.sizes)), max(1, len(u.sizes))
     bend = 0.25 * (u.back((u.sizes + 1) / m) + prior * p.back((p.sizes + 1) / n)) + decay + 1e-12
     bend_b = 0.25 * ((u.sizes + 1).sum() / m + prior * (p.sizes + 1).sum() / n)
     ahead, ahead_b, t = w, b, 1.0
-    for _ in range(STEPS):
+    for _ in range(steps):
         _, gp, gu, _ = pu_risk(p.dot(ahead) + ahead_b, u.dot(ahead) + ahead_b, prior)
         free = ahead - (p.back(gp) + u.back(gu) + decay * ahead) / bend
         new, new_b = np.sign(free) * np.maximum(np.abs(free) - penalty / bend, 0), ahead_b - (gp.sum() + gu.sum()) / bend_b
@@ -92,7 +92,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float)
         active = np.union1d(active, called)
         w[active], b = _steps(p.only(active), u.only(active), prior, penalty[active], DECAY, w[active], b)
     chosen = np.flatnonzero(w)
-    last, b = _steps(p.only(chosen), u.only(chosen), prior, np.zeros(len(chosen)), LAST_DECAY, w[chosen], b)
+    last, b = _steps(p.only(chosen), u.only(chosen), prior, np.zeros(len(chosen)), LAST_DECAY, w[chosen], b, LAST_STEPS)
     return Model(known[chosen], last, b)
 
 

@@ -43,7 +43,12 @@ class Names(dict):
 
 
 def frame(spark: SparkSession, sf_dir: str, builder: Builder) -> DataFrame:
-    return spark.sql(builder(SPARK, Names(spark, sf_dir)))
+    names = Names(spark, sf_dir)
+    try:
+        return spark.sql(builder(SPARK, names))
+    finally:
+        for view in names.values():
+            spark.catalog.dropTempView(view)
 
 
 def sub(sql: str) -> str:
@@ -359,8 +364,8 @@ o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY y, seq) AS k FRO
 g AS (SELECT doc_id, k, y, value, crop_ix, conf, CAST(1 AS BIGINT) AS cl, y AS total, CAST(1 AS BIGINT) AS n FROM o WHERE k = 1
   UNION ALL SELECT o.doc_id, o.k, o.y, o.value, o.crop_ix, o.conf, CASE WHEN abs(g.total / g.n - o.y) <= 3 THEN g.cl ELSE g.cl + 1 END,
     CASE WHEN abs(g.total / g.n - o.y) <= 3 THEN g.total + o.y ELSE o.y END, CASE WHEN abs(g.total / g.n - o.y) <= 3 THEN g.n + 1 ELSE 1 END FROM g JOIN o ON o.doc_id = g.doc_id AND o.k = g.k + 1),
-v AS (SELECT doc_id, cl, value, count(DISTINCT crop_ix) AS crops, sum(conf) AS conf, avg(y) AS y, min(k) AS f FROM g GROUP BY doc_id, cl, value),
-b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, cl ORDER BY crops DESC, round(conf, 9) DESC, f) AS place FROM v)
+v AS (SELECT doc_id, cl, value, count(DISTINCT crop_ix) AS crops, list_reduce(list(conf ORDER BY k), lambda x, z: x + z) AS conf, avg(y) AS y, min(k) AS f FROM g GROUP BY doc_id, cl, value),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, cl ORDER BY crops DESC, conf DESC, f) AS place FROM v)
 SELECT doc_id, 1 AS page_no, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY y, cl) AS INT) AS number_no, y, value FROM b WHERE place = 1""",
 }
 

@@ -32,7 +32,7 @@ SELECT doc_id, entry_no, page_no, x0 AS x, greatest(0.0, y0 - 15.0) AS y FROM m
 
 def heading_rows(items: DataFrame) -> DataFrame:
     """Rows for lookup from recognised items(doc_id, page_no, item_no, text, box)."""
-    return R.page_rows(R.item_fragments(items), 3.0)
+    return R.page_rows(R.item_fragments(items), 3.0, seq="item_no")
 
 
 def span_items(spans: DataFrame) -> DataFrame:

@@ -6,8 +6,10 @@ explicit white-space and digit classes, \\z instead of $.  Group references are
 
 from __future__ import annotations
 
+import atexit
 import itertools
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -131,11 +133,15 @@ def run(spark: SparkSession, build, **frames: DataFrame) -> DataFrame:
     for key, frame in frames.items():
         names[key] = f"__folio_{key}_{next(_names)}"
         frame.createOrReplaceTempView(names[key])
-    return spark.sql(build(SPARK, **names))
+    try:
+        return spark.sql(build(SPARK, **names))  # analysed at once, so the views have served
+    finally:
+        for name in names.values():
+            spark.catalog.dropTempView(name)
 
 
 def cut(frame: DataFrame) -> DataFrame:
-    """frame as a table written in the folder that spark.checkpoint.dir names (an own one where unset).
+    """frame as a table written in the folder that spark.checkpoint.dir names (a temporary one where unset in one process).
 
     Plans that use a relation several times start from its files: neither the optimizer nor a
     lost executor goes back through its lineage.
@@ -143,7 +149,11 @@ def cut(frame: DataFrame) -> DataFrame:
     spark = frame.sparkSession
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="foliospark-")
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        own = tempfile.mkdtemp(prefix="foliospark-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        folder = "file://" + own
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/foliospark/cut-{uuid.uuid4().hex}"
     frame.write.parquet(path)

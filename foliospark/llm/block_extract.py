@@ -65,10 +65,10 @@ STOP_HIGH, STOP_LOW, LINKS = 0.30, 0.12, 0.35  # shares of stop words and of lin
 # A quote delimits a value only where the value begins with it.
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>\x00]*)"
-    r"((?:[^>=]|=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|=\s*[^\s>\"'][^\s>]*|=(?=\s*(?:>|\Z)))*+)(?:>|\Z)",
+    r"((?:[\s/]+|[^\s/>][^\s/>=]*(?:\s*=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s>\"'][^\s>]*|(?=>|\Z)))?)*+)(?:>|\Z)",
     re.S,
 )
-_ATTR = re.compile(r"([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>\"'][^\s>]*)))?")
+_ATTR = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>\"'][^\s>]*)))?")
 _TELLING = re.compile(r"class|id|role|hidden|style", re.I)
 _UNQUOTED = re.compile(r"=\s*[^\s\"'=>]*/\Z")  # the slash belongs to a value
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in RAW_TAGS}

@@ -79,7 +79,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", labelled:
     common.small_batches(docs.sparkSession)
     own = labels.where(~common.held_out_flag(F.col("doc_id")) & F.col(column).isNotNull())
     own = own.groupBy(F.col("doc_id").alias("id")).agg(F.max(column).cast("int").alias("label"))
-    chosen = sample(own, labelled, "id")  # at most labelled rows, so it can be broadcast
+    chosen = own.join(F.broadcast(sample(own, labelled, "id")), "id")  # at most labelled rows, so it can be broadcast
     rows = feature_rows(docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")), "label").toPandas()
     return fit([np.frombuffer(f, np.int32) for f in rows["features"]], rows["label"].tolist())
 

@@ -49,6 +49,14 @@ def test_nearest_equals_brute_force(spark, shard_rows):
     assert found == brute([(i, None if e is None else list(e)) for i, e in seen], 7)
 
 
+def test_ties_of_different_vectors_go_to_the_smaller_id(spark):
+    rng = np.random.default_rng(1)
+    tied = [(i, [0.5, *rng.normal(size=7).round(2).tolist()]) for i in range(400, 0, -1)]
+    rows = [(1000, [1.0] + [0.0] * 7), *tied, (5000, [1e6] + [0.0] * 7), (401, [0.25] * 8)]
+    out = V.nearest(vectors(spark, rows), lambda c: c == 1000, shard_rows=150).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in out] == [(5000, 1e6), *((i, 0.5) for i in range(1, 20))]
+
+
 def test_few_or_no_vectors(spark):
     assert V.nearest(vectors(spark, []), lambda c: c % 20 == 0).count() == 0
     out = V.nearest(vectors(spark, [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5])]), lambda c: c % 20 == 0).orderBy("rank").collect()
@@ -181,6 +189,50 @@ def test_mix_meets_its_targets(spark):
     assert whole.count() == int(sum(math.floor(t / n + 0.5) for t, n in zip(plan.taken, plan["size"]) if n))
 
 
+def plain_targets(sizes, weights):
+    """Water filling by bisection on the level."""
+    aim, lo, hi = 1.5 * sum(sizes), 0.0, 2.0 * max(sizes) + 1
+    for _ in range(200):
+        level = (lo + hi) / 2
+        lo, hi = (level, hi) if sum(min(2.0 * s, level * w) for s, w in zip(sizes, weights)) < aim else (lo, level)
+    return [min(2.0 * s, hi * w) for s, w in zip(sizes, weights)]
+
+
+def test_targets_equal_plain_water_filling(spark):
+    rng = random.Random(2)
+    for n in (1, 2, 5, 9):
+        sizes = [rng.choice([3, 50, 400, 5000]) + rng.randrange(40) for _ in range(n)]
+        totals = spark.createDataFrame([(f"s{i}", s) for i, s in enumerate(sizes)], "source string, source_size long")
+        got = [r["target"] for r in S.targets(spark, totals, S.WEIGHTS, 1.5, 2.0).orderBy("source").collect()]
+        assert np.allclose(got, plain_targets(sizes, [(5, 2, 1)[i % 3] for i in range(n)]), rtol=1e-9)
+
+
+def test_slot_arithmetic_and_many_equal_rows(spark, monkeypatch):
+    rows = [(None, "hot", "same words here")] * 9000 + [(i, "b", "w " * (i % 30)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)
+    monkeypatch.setattr(S, "STRETCH_ROWS", 512)
+    key = lambda plan: sorted(tuple(r) for r in plan.select("row", "size", "taken").collect())
+    narrow = key(S.mix(docs)[0])
+    assert sum(r[2] for r in narrow if r[1]) and len(narrow) == 9300 and len({r[0] for r in narrow}) == 9300
+    monkeypatch.setattr(S, "NARROW_SLOTS", 3)
+    assert key(S.mix(docs.repartition(3))[0]) == narrow
+    times = {}
+    for row, size, taken in key(S.mix(docs, equal=S._whole_row(docs))[0]):
+        times[size] = times.get(size, 0) + (math.floor(taken / size + 0.5) if size else 0)
+    out = S.mixed_documents(docs).groupBy("text").count().collect()
+    got = {}
+    for r in out:
+        got[len(r["text"].split())] = got.get(len(r["text"].split()), 0) + r["count"]
+    assert got == {k: n for k, n in times.items() if n}
+
+
+def test_native_operators_plan_no_python(spark):
+    docs = spark.createDataFrame(mix_rows(), "doc_id long, source string, text string")
+    for frame in (S.mix(docs)[0], S.mixed_documents(docs), Q.op2_chat_format(spark, DATA), Q.op7_url_rules(spark, DATA)):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert not any(word in plan for word in ("Python", "Pandas", "Arrow", "PythonRDD"))
+
+
 def test_mix_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, source string, text string")
     assert S.mix(empty)[0].count() == 0 and S.mixed_documents(empty).count() == 0
@@ -211,6 +263,29 @@ def test_pipeline(spark):
     assert out.start.tolist() == [0, *np.cumsum(out.n_tokens)[:-1]]
 
 
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    long = " ".join(f"w{i}" for i in range(30_000))
+    item = "an item of the benchmark that is long enough to be told from all the other texts in here"
+    rows = [(7, "one two three four five six"), (7, "one two three four five six"), (9, "one two three four five six"), (None, None), (None, ""), (10, None), (11, long), (12, "x " + item), (None, "y " + item), (13, "all alone in the world of texts"), (14, " \t")]
+    schema = "doc_id long, text string, lang string, source string, n_chars int, size int, score double, row string, node long"
+    docs = spark.createDataFrame([(i, t, "en", None if k % 2 else "s", 0, 1, 0.0, "r", 2) for k, (i, t) in enumerate(rows)], schema)
+    spark.createDataFrame([(1, item), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    before = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, before, str(tmp_path))
+        assert after.columns == docs.columns, name
+        before = spark.createDataFrame(after.collect(), docs.schema)
+        if name == "decontaminate":
+            left = sorted((str(r["doc_id"]), str(r["text"])[:8]) for r in before.collect())
+            assert left == sorted([("7", "one two "), ("None", "None"), ("None", ""), ("10", "None"), ("11", "w0 w1 w2"), ("13", "all alon"), ("14", " \t")])
+    out = corpus_pipeline.STAGES[-1][1](spark, before, str(tmp_path))
+    assert out.count() == before.count() and {r["doc_id"] for r in out.collect()} <= {7, 11, 13}
+    nothing = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing, str(tmp_path)).count() == 0
+
+
 def test_every_operator_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in Q.queries()) == list(range(1, 11))
     assert set(Q.oracle_sql()) <= set(Q.queries())

@@ -1,6 +1,7 @@
 """Operators 1 to 5, 8 and 9 against brute force, round trips and held-out accuracy."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -38,9 +39,7 @@ def documents(spark, texts, ids=None):
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokenizer_path())
 
 
 @pytest.fixture(scope="module")
@@ -56,6 +55,12 @@ def test_unit_encoding_equals_whole_texts(tokenizer, encoder, texts):
         assert ids[a:b].tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|> y", "a <|endoftext| > b", " <|endoftext|>\n"])
+def test_special_tokens_are_taken_as_the_library_does(tokenizer, encoder, text):
+    ids, offsets = encoder(pa.array(["plain text", text, "and more of it"]))
+    assert ids[offsets[1] : offsets[2]].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_token_tables(spark, tokenizer):
     texts = ["b c", None, "", "a  b \n c", LONG, "b c", "tail\n\n\n x"]
     manifest = K.write(documents(spark, texts, [5, 9, -3, 2**40, 7, 5, None]), tokenizer_path(), shard_bytes=200_000)
@@ -124,6 +129,13 @@ def test_no_control_string_is_left_in_a_text(spark):
     assert shown == "<s>user[INST%]%3C/s>%5BINST] ok %5B/INST][/INST]</s><s>assistant[INST]fine[/INST]</s>"
 
 
+def test_only_turns_that_need_it_are_escaped(spark):
+    rows = [(1, 0, "user", "a [/INST]</s> b"), (1, 1, "assistant", "fine"), (1, 2, "user", "50 % < [x]"), (2, 0, "user", "[/INST]</s>" * 3), (2, 1, "assistant", "<s>x[INST%]"), (2, 2, "user", "plain")]
+    out = {r["conv_id"]: r for r in C.format_chats(spark.createDataFrame(chat(rows), CHATS)).collect()}
+    assert out[1]["escaped_turns"] == 1 and out[2]["escaped_turns"] == 2
+    assert "[INST]50 % < [x][/INST]</s>" in out[1]["formatted"] and out[2]["formatted"].endswith("<s>user[INST]plain[/INST]</s>")
+
+
 def sets_of(texts):
     out = []
     for t in texts:
@@ -231,7 +243,7 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(p == y for p, y in hits) >= 0.95 * len(hits)
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in out.values())
     assert out[1500]["predicted"] == out[1501]["predicted"] == out[1502]["predicted"] == 0
-    assert {r["score"] for r in X.score(docs, X.train(docs, labels.where("toxic = 0"))).collect()} <= {r["score"] for r in [*out.values()]} | {1 / (1 + np.exp(40.0))}
+    assert {r["score"] for r in X.score(docs, X.train(docs, labels.where("toxic = 0"))).collect()} == {0.0}
     assert X.score(documents(spark, []), X.train(documents(spark, []), labels)).count() == 0
     kept = X.drop_toxic(docs, labels)
     assert kept.columns == docs.columns and kept.count() == sum(1 - r["predicted"] for r in out.values())
@@ -267,6 +279,57 @@ def test_pu_risk_corrects_a_negative_part():
     assert not X.pu_risk(np.array([0.0]), np.array([0.0]), 0.3)[3]
 
 
+def test_pu_gradient_equals_finite_differences():
+    """Where the bracket is negative, the gradient followed is that of the risk less the bracket."""
+    rng, prior, soft = np.random.default_rng(1), 0.2, lambda z: np.log1p(np.exp(z))
+    for shift in (0.0, -6.0):
+        p, u = rng.normal(size=7) - shift, rng.normal(size=11) + shift
+        value = lambda p, u: prior * soft(-p).mean() + (soft(u).mean() - prior * soft(p).mean()) * (-1 if shift else 1)
+        risk, gp, gu, corrected = X.pu_risk(p, u, prior)
+        assert corrected == bool(shift) and (corrected or abs(risk - value(p, u)) < 1e-12)
+        for own, g in ((p, gp), (u, gu)):
+            for i in range(len(own)):
+                ends = []
+                for step in (1e-6, -1e-6):
+                    own[i] += step
+                    ends.append(value(p, u))
+                    own[i] -= step
+                assert abs((ends[0] - ends[1]) / 2e-6 - g[i]) < 1e-7
+
+
+def plain_margins(texts, model, shrink):
+    """Sums over a text's columns, one text at a time."""
+    weight, out = dict(zip(model.vocabulary.tolist(), model.weights.tolist())), []
+    for columns in H.features(WordHasher(), pa.array(texts, pa.string())):
+        known = [weight[c] for c in columns.tolist() if c in weight]
+        out.append(sum(known) / (max(1, len(known)) ** 0.5 if shrink else 1))
+    return out
+
+
+def test_toxicity_equals_plain_scores_and_learns(spark):
+    texts, toxic = labelled(900, 11)
+    texts += [None, "", texts[0], texts[0]]
+    docs = documents(spark, texts, [*range(900), 900, None, 0, 0])
+    model = X.train(docs, spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int"))
+    assert len(model.weights)
+    want = [1 / (1 + np.exp(-m - model.intercept)) for m in plain_margins(texts, model, False)]
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["held_out"], r["score"], r["predicted"]) for r in X.score(docs, model).collect())
+    ids = [*range(901), -1, 0, 0]
+    for g, w in zip(got, sorted(zip(ids, want))):
+        assert g[0] == w[0] and abs(g[2] - w[1]) < 1e-12 and g[3] == (g[2] >= 0.5) and g[1] == (w[0] < 0 or zlib.crc32(str(w[0]).encode()) % 5 == 0)
+    held = [i for i in range(900) if zlib.crc32(str(i).encode()) % 5 == 0]
+    pos, neg = ([want[i] for i in held if toxic[i] == y] for y in (1, 0))
+    assert np.mean([p > n for p in pos for n in neg]) > 0.95  # weights of zero give every text the same score
+
+
+def test_rows_are_dropped_by_their_own_text(spark):
+    texts, toxic = labelled(400, 9)
+    bad, clean = next(t for t, y in zip(texts, toxic) if y), next(t for t, y in zip(texts, toxic) if not y)
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    docs = documents(spark, [*texts, bad, clean], [*range(400), 5000, 5000])
+    assert [r["text"] for r in X.drop_toxic(docs, labels).where("doc_id = 5000").collect()] == [clean]
+
+
 def test_ordinal_quality(spark):
     rng = random.Random(4)
     texts, grades = [], []
@@ -286,6 +349,40 @@ def test_ordinal_quality(spark):
     assert {(r["expected_grade"], r["tail_probability"]) for r in Q.score(docs, none).collect()} == {(0.0, 1.0)}
 
 
+def test_ordinal_gradient_and_plain_scores(spark):
+    rng = np.random.default_rng(2)
+    x = H.Matrix([rng.choice(6, rng.integers(0, 5), replace=False) for _ in range(30)], 6, True)
+    k, w, free = rng.integers(0, 4, 30), rng.normal(size=6), np.array([-1.0, 0.2, -0.3])
+
+    def value():
+        cuts = [free[0], free[0] + np.exp(free[1]), free[0] + np.exp(free[1]) + np.exp(free[2])]
+        below = lambda c, e: 1 / (1 + np.exp(-(c - e)))
+        eta = x.dot(w)
+        return -np.mean([np.log((1.0 if g == 3 else below(cuts[g], e)) - (0.0 if g == 0 else below(cuts[g - 1], e))) for g, e in zip(k, eta)])
+
+    loss, d_w, d_free = Q.link_loss(x, k, w, free)
+    assert abs(loss - value()) < 1e-9
+    for own, g in ((w, d_w), (free, d_free)):
+        for i in range(len(own)):
+            ends = []
+            for step in (1e-6, -1e-6):
+                own[i] += step
+                ends.append(value())
+                own[i] -= step
+            assert abs((ends[0] - ends[1]) / 2e-6 - g[i]) < 1e-6
+    texts = [f"good{i % 7} word{i % 11} end" if i % 3 else f"junk{i % 5} word{i % 11}" for i in range(300)] + ["", None, "good1"]
+    ids = [*range(301), None, 3]
+    docs = documents(spark, texts, ids)
+    model = Q.train(docs, spark.createDataFrame([(i, (i % 3) + 2 * (i % 2)) for i in range(300)] + [(5, 0), (None, 3)], "doc_id long, quality int"))
+    want = []
+    for i, m in zip(ids, plain_margins(texts, model, True)):
+        above = [1 / (1 + np.exp(t - m)) for t in model.thresholds]
+        want.append((-1 if i is None else i, model.grades[0] + sum(p * (b - a) for p, a, b in zip(above, model.grades, model.grades[1:])), above[-1]))
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["expected_grade"], r["tail_probability"]) for r in Q.score(docs, model).collect())
+    assert np.allclose(got, sorted(want), atol=1e-12)
+    assert Q.score(documents(spark, []), model).count() == 0
+
+
 def test_features_of_copies_are_equal():
     h = WordHasher()
     a, b, c, d = H.features(h, pa.array(["Alpha beta", "alpha  BETA alpha", None, ""]))
@@ -337,6 +434,17 @@ def test_decontamination_equals_brute_force(spark):
     assert D.matches(documents(spark, docs), table.limit(0)).count() == 0
 
 
+def test_short_and_repeated_items_equal_brute_force(spark):
+    items = [(1, "a"), (2, "ab cd"), (3, "ab cd"), (None, "zq!"), (5, "x1y2z3w"), (6, "éa"), (7, None), (8, " ?! ")]
+    docs = ["xab cdy", "AB  CD", "zzq", "nothing", None, "", "x1y2z3w4", "Éa b", "ab cd", "ab cd"]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    ours, theirs = D.normalise(pa.array(docs, pa.string())).to_pylist(), D.normalise(pa.array([t for _, t in items], pa.string())).to_pylist()
+    want = sorted(str((i, item[0], edit_distance_to_substring(p, t))) for i, t in enumerate(ours) for item, p in zip(items, theirs) if p and t and edit_distance_to_substring(p, t) <= int(D.RATE * len(p)))
+    for block_chars in (1 << 20, 3):
+        out = D.matches(documents(spark, docs), table, block_chars=block_chars).collect()
+        assert sorted(str((r["doc_id"], r["item_id"], r["distance"])) for r in out) == want
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style><script>var a="</p><p>x";</script></head><body>
 <header class="site-header"><p>The name of the site is here and it is not a part of the article at all, is it.</p></header>
 <nav><ul><li><a href="/a">the first of them</a></li></ul></nav><div class="cookie-notice">We use cookies and the like on this site, for you and for all of us and the rest.</div>
@@ -403,6 +511,83 @@ def test_names_still_drop_other_text():
     assert B.main_text("<div class=sidebar>" * 3000 + BODY[2] + "</div>" * 3000) == ""
 
 
+@pytest.mark.parametrize("mark", ["<p title=5\">{}</p>", "<p title=it's>{}</p>", "<p data-id='ad' title='a hidden menu'>{}</p>", "<p><a href=/x/></a>{}</p>", "<p =\">{}</p>", "<p x= >{}</p>", "<p class=x id=y'>{}</p>"])
+def test_quotes_and_odd_attributes(mark):
+    assert B.main_text("<div><p>" + unescape(BODY[1]).replace("&", "&amp;") + "</p>" + mark.format(BODY[3]) + "<p>Short.</p></div>").split("\n")[1:] == ["And the last of them is here, with a bold word and a link in it, for the test of the rules é.", "Short."]
+
+
+def test_inline_parts_that_are_dropped_leave_the_block_whole():
+    for inner in ("<span class='ad'>buy <b>it</b></span>", "<span class=ad>" + "<i class=x>" * 40 + "buy</span>", "<span hidden>not shown</span>", "<button>press</button>"):
+        assert B.main_text(f"<article><p>It is the first of the texts {inner} and it is long enough to be the text of the page.</p></article>") == "It is the first of the texts and it is long enough to be the text of the page."
+    deep = "<p>" + "<span class=x>" * 50 + "It is one of the texts of the page, and it is in many of the spans of it.<p>" + BODY[3] + "</p>"
+    assert len(B.main_text(f"<div>{deep}</div>").split("\n")) == 2
+
+
+def plain_main_text(html):
+    """The two passes restated over the standard library's parser, for pages without layout names."""
+    from html.parser import HTMLParser
+
+    found, state = [], {"text": "", "linked": 0, "open": [], "a": 0}
+
+    class Reader(HTMLParser):
+        def flush(self):
+            text = " ".join(state["text"].split())
+            if text:
+                tags = [t for t, _ in state["open"]]
+                bad = any(b for _, b in state["open"])
+                found.append([text, state["linked"] / len(text), bad, "article" in tags or "main" in tags, next((t for t in reversed(tags) if t in ("div", "article", "main", "section")), "")])
+            state["text"], state["linked"] = "", 0
+
+        def handle_starttag(self, tag, attrs):
+            names = set(re.split(r"[^a-z]+", " ".join(v or "" for k, v in attrs if k in ("class", "id")).lower()))
+            if tag in B.BLOCK_TAGS:
+                self.flush()
+            state["a"] += tag == "a"
+            if tag not in B.VOID_TAGS:
+                inside = any(t in ("article", "main") for t, _ in state["open"])
+                state["open"].append((tag, tag in B.DROP_TAGS or tag in B.RAW_TAGS or tag == "header" and not inside or bool(names & B.DROP_NAMES)))
+
+        def handle_endtag(self, tag):
+            if tag in B.BLOCK_TAGS:
+                self.flush()
+            state["a"] -= tag == "a"
+            while any(t == tag for t, _ in state["open"]) and state["open"].pop()[0] != tag:
+                pass
+
+        def handle_data(self, data):
+            if not any(t in B.RAW_TAGS for t, _ in state["open"]):
+                state["text"] += data
+                state["linked"] += len(" ".join(data.split())) if state["a"] else 0
+
+    reader = Reader(convert_charrefs=True)
+    reader.feed(html)
+    reader.close()
+    reader.flush()
+    labels = []
+    for text, links, bad, _, _ in found:
+        words = re.findall(r"[^\W\d_]+", text.lower())
+        stops = sum(w in B.STOP_WORDS for w in words) / max(1, len(words))
+        good = len(text) >= B.LONG and stops >= B.STOP_HIGH or len(text) >= 2 * B.LONG and stops >= B.STOP_LOW
+        labels.append("bad" if bad or links > B.LINKS else "good" if good else "open")
+    out = []
+    for i, (text, _, _, inside, _) in enumerate(found):
+        label = labels[i]
+        if label == "open":
+            near = [next((labels[j] for j in side if labels[j] != "open" and (found[j][3] and not found[j][2] or not inside)), None) for side in (range(i - 1, -1, -1), range(i + 1, len(found)))]
+            label = "bad" if all(n == "bad" for n in near) else "good"
+        if label == "good":
+            out.append(text)
+    return "\n".join(out)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+def test_extraction_equals_the_two_passes_restated(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in B.extract(pages).collect()}
+    want = {r["page_id"]: plain_main_text(r["html"]) for r in pages.collect()}
+    assert got == want and sum(map(bool, got.values())) > len(got) / 2
+
+
 def test_extraction_rows(spark):
     cut = "<article><p>The text of the page is cut off in the middle of the <b"
     deep = "<div>" * 3000 + "<p>The text is deep in the page and it has some of the words of the list in it.</p>"

@@ -38,7 +38,8 @@ from .textvec import WordHasher, shingle_sets
 SIGNATURE, BANDS, BATCH = 128, 32, 32  # hashes, bands of 4 hashes, hashes per comparison step
 NUMERATOR, DENOMINATOR = 75, 100  # similarity threshold as a fraction, compared in integers
 MISS = 1e-5  # posterior probability under which a pair is dropped
-BLOCK, SET_BLOCK = 1024, 512  # documents on a side of a block of signatures, and of sets
+BLOCK = 1024  # documents on a side of a block
+FILTER_BITS = 1 << 26  # of the bitmap that keeps unwanted texts out of a shuffle
 
 
 def min_matches(threshold: float, miss: float, n_hashes: int, batch: int) -> list[tuple[int, int]]:
@@ -155,13 +156,13 @@ class _Block:
 
 
 def _block_likely(group: pa.Table) -> pa.Table:
-    """The documents of one block pair that have a plausible partner, under the block pair's name."""
+    """The rows of one block pair that have a plausible partner."""
     block = _Block(group)
     likely = np.zeros(len(block.ids), bool)
     for i, js in block.partners():
         likely[i] = True
         likely[js] = True
-    return group.select(["block", "id", "comp"]).rename_columns(["hub", "id", "comp"]).filter(pa.array(likely))
+    return group.select(DEALT).filter(pa.array(likely))
 
 
 def _block_links(group: pa.Table) -> pa.Table:
@@ -188,12 +189,29 @@ def _block_links(group: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
 
-def _dealt(rows: DataFrame, size: int) -> DataFrame:
-    """rows(hub, id, comp) dealt into block pairs (lo, hi) of about size rows a side for each hub."""
-    sizes = rows.groupBy("hub").agg(F.count("*").alias("n")).select("hub", F.ceil(F.col("n") / size).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("id", F.lit(size)), F.col("parts")).cast("int")
+DEALT = ["hub", "id", "comp", "part", "lo", "hi"]
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows(hub, id, comp) dealt into block pairs (lo, hi) of about BLOCK rows a side for each hub."""
+    sizes = rows.groupBy("hub").agg(F.count("*").alias("n")).select("hub", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     dealt = rows.join(sizes, "hub").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return dealt.select("hub", "id", "comp", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi")).withColumn("block", F.xxhash64("hub", "lo", "hi"))
+    return dealt.withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other")).select(*DEALT)
+
+
+def _only_wanted(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """docs without most rows whose key (row) is not in wanted(row): a bitmap of key hashes.
+
+    The bitmap has FILTER_BITS bits however many keys it takes, so it can be broadcast; the fuller it
+    is, the less it keeps out, and the join that follows decides.
+    """
+    place = F.pmod("row", F.lit(FILTER_BITS)) + 1
+    bits = wanted.select(place.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits"))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    near = docs.join(F.broadcast(bits), F.bitmap_bucket_number(place) == F.col("bucket"))
+    return near.where(F.getbit(byte, (at % 8).cast("int")) == 1).drop("bucket", "bits")
 
 
 def components(scratch: common.Scratch, links: DataFrame, name: str) -> DataFrame:
@@ -259,12 +277,13 @@ def decisions(docs: DataFrame) -> DataFrame:
     likely = scratch.keep(pairs.join(side(sigs, "a", "sig"), "a").join(side(sigs, "b", "sig"), "b").mapInArrow(_prune, "a long, b long"), "likely")
 
     def sets_of(wanted: DataFrame, name: str) -> DataFrame:
-        rows = docs.join(sigs.select("id", "row").join(wanted, "id"), "row").select("id", "text")
+        asked = scratch.keep(sigs.select("id", "row").join(wanted, "id"), f"{name}-rows")
+        rows = _only_wanted(docs, asked).join(asked, "row").select("id", "text")
         return scratch.keep(rows.mapInArrow(_sets, "id long, shingles binary").dropDuplicates(["id"]), name)  # of an id, all sets are equal
 
     sets = sets_of(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "sets")
     stars = scratch.keep(likely.join(side(sets, "a", "set"), "a").join(side(sets, "b", "set"), "b").mapInArrow(_confirm, "a long, b long"), "stars")
-    scratch.drop("sets", "likely")
+    scratch.drop("sets", "sets-rows", "likely")
     several = sketch.where("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("hi")).where("b <> hi").select("doc_id", "b")
     same_id = sketch.select("doc_id", F.col("node").alias("a")).join(several, "doc_id").where("a <> b").select("a", "b").distinct()
     stars = stars.unionByName(scratch.keep(same_id, "same-id"))
@@ -275,12 +294,13 @@ def decisions(docs: DataFrame) -> DataFrame:
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     open_rows = scratch.keep(placed.join(mixed, "key").select("hub", "id", "comp").distinct(), "open")
     own = sigs.select("id", "sig")
-    marked = scratch.keep(_dealt(open_rows, BLOCK).join(own, "id").groupBy("hub", "lo", "hi").applyInArrow(_block_likely, "hub long, id long, comp long"), "marked")
+    blocks = _dealt(open_rows).join(own, "id").groupBy("hub", "lo", "hi")
+    marked = scratch.keep(blocks.applyInArrow(_block_likely, "hub long, id long, comp long, part int, lo int, hi int"), "marked")
     sets = sets_of(marked.select("id").distinct(), "open-sets")
-    blocks = _dealt(marked, SET_BLOCK).join(own, "id").join(sets, "id")
+    blocks = marked.join(own, "id").join(sets, "id")
     rest = scratch.keep(blocks.groupBy("hub", "lo", "hi").applyInArrow(_block_links, "a long, b long"), "rest")
     final = components(scratch, stars.unionByName(rest), "cc").select(F.col("id").alias("node"), "comp")
-    scratch.drop("buckets", "sigs", "stars", "same-id", "star-cc", "open", "marked", "open-sets", "rest")
+    scratch.drop("buckets", "sigs", "stars", "same-id", "star-cc", "open", "marked", "open-sets", "open-sets-rows", "rest")
 
     rows = sketch.select("row", "nth", "doc_id", "n_shingles", "node")
     bare = rows.where("node is null").select("row", "node", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))

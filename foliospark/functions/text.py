@@ -194,11 +194,11 @@ def open_brackets(x: str, d: SparkDialect = SPARK) -> str:
     return d.replace(x, rf"[（(][{SPACE}]*(\p{{Nd}}{{1,4}}|{ROMAN_TOKEN}+)[{SPACE}]*[）)][{SPACE}]*\z", " $1")
 
 
-def whole_line(x: str, d: SparkDialect = SPARK) -> tuple[str, str, str]:
-    """(applies, title, page token) where a row starts with a number and has a leader."""
+def whole_line(x: str, d: SparkDialect = SPARK) -> tuple[str, str]:
+    """(page token, title before it) where a row starts with a number and has a leader; the token is empty elsewhere."""
     pattern = rf"(?s)^(.*?)[{LEADER}{SPACE}]{{2,}}{_PAGE_END}"
-    applies = f"({d.like(x, rf'^[{SPACE}]*\p{{Nd}}{{1,3}}(?:\.\p{{Nd}}+)*[{SPACE}]+')} AND {d.like(x, r'[.·…_﹍]{3,}')} AND {d.like(x, pattern)})"
-    return applies, d.extract(x, pattern, 1), d.extract(x, pattern, 2)
+    applies = f"{d.like(x, rf'^[{SPACE}]*\p{{Nd}}{{1,3}}(?:\.\p{{Nd}}+)*[{SPACE}]+')} AND {d.like(x, r'[.·…_﹍]{3,}')}"
+    return f"CASE WHEN {applies} THEN {d.extract(x, pattern, 2)} ELSE '' END", d.replace(x, pattern, "$1")
 
 
 def marked(x: str, d: SparkDialect = SPARK) -> str:
@@ -206,8 +206,8 @@ def marked(x: str, d: SparkDialect = SPARK) -> str:
     return d.replace(x, rf"(?:^|[{SPACE}]+)({ANCHORS})", "\x01$1")
 
 
-def chunk(x: str, digits_only: bool = False, d: SparkDialect = SPARK) -> tuple[str, str, str]:
-    """(applies, title, page token) of one chunk: a page after leaders, spaces or a letter."""
+def chunk(x: str, digits_only: bool = False, d: SparkDialect = SPARK) -> tuple[str, str]:
+    """(page token, title before it) of one chunk: a page after leaders, spaces or a letter; else an empty token."""
     end = rf"(\p{{Nd}}{{1,4}})[{SPACE}]*\z" if digits_only else _PAGE_END
     pattern = rf"(?s)^(?:(.*?)[{LEADER}{SPACE}]+|(.*?[{CJK}A-Za-z])){end}"
-    return d.like(x, pattern), f"{d.extract(x, pattern, 1)} || {d.extract(x, pattern, 2)}", d.extract(x, pattern, 3)
+    return d.extract(x, pattern, 3), d.replace(x, pattern, "$1$2")

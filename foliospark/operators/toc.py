@@ -14,23 +14,32 @@ def row_items_sql(d: SparkDialect, rows: str) -> str:
     """(doc_id, source_page, row_no, item_no, title, logical_page) of rows(doc_id, source_page, row_no, row_text).
 
     One row can give several items: it is cut before each chapter anchor.  A row that starts with
-    a number and has a leader is one item.
+    a number and has a leader is one item.  The rows are gone through once, each rule evaluated once.
     """
-    applies, title, token = T.whole_line("r", d)
-    good = f"title <> '' AND logical_page IS NOT NULL AND {T.meaningful('title', d)}"
-    piece = T.strip("piece", d)
-    ok, chunk_title, chunk_token = T.chunk(piece, False, d)
-    ok_plain, plain_title, plain_token = T.chunk("r", True, d)
-    return f"""WITH a AS (SELECT doc_id, source_page, row_no, {T.open_brackets('row_text', d)} AS r FROM {rows} WHERE NOT {T.noise('row_text', d)}),
-b AS (SELECT doc_id, source_page, row_no, r, {T.clean_title(title, d)} AS title, {T.page_token(token, d)} AS logical_page, {applies} AS whole FROM a),
-c AS (SELECT doc_id, source_page, row_no, r, title, logical_page, coalesce(whole AND {good}, false) AS done FROM b),
-e AS (SELECT doc_id, source_page, row_no, {T.marked('r', d)} AS m, r FROM c WHERE NOT done),
-g AS (SELECT doc_id, source_page, row_no, item_no, {piece} AS piece FROM {d.unnest("(SELECT * FROM e WHERE instr(m, chr(1)) > 0)", d.split("m", "chr(1)"), "piece", "item_no")} AS x WHERE item_no > 1),
-h AS (SELECT doc_id, source_page, row_no, item_no, {T.clean_title(T.strip(chunk_title, d), d)} AS title, {T.page_token(chunk_token, d)} AS logical_page FROM g WHERE {ok}),
-k AS (SELECT doc_id, source_page, row_no, 1 AS item_no, {T.clean_title(plain_title, d)} AS title, {T.page_token(plain_token, d)} AS logical_page FROM e WHERE instr(m, chr(1)) = 0 AND {ok_plain}),
-u AS (SELECT doc_id, source_page, row_no, 1 AS item_no, title, logical_page FROM c WHERE done
-      UNION ALL SELECT * FROM (SELECT * FROM h UNION ALL SELECT * FROM k) AS v WHERE {good})
-SELECT doc_id, source_page, row_no, CAST(item_no AS INT) AS item_no, title, CAST(logical_page AS INT) AS logical_page FROM u"""
+    marked = "instr(m, chr(1)) > 0"
+    whole_token, whole_title = T.whole_line("r", d)
+    plain_token, plain_title = T.chunk("piece", True, d)
+    piece_token, piece_title = T.chunk("piece", False, d)
+
+    def good(title: str, page: str) -> str:
+        return f"({title} <> '' AND {page} IS NOT NULL AND {T.meaningful(title, d)})"
+
+    def cleaned(token: str, title: str) -> tuple[str, str]:
+        return f"CASE WHEN {token} <> '' THEN {T.clean_title(title, d)} END", f"CASE WHEN {token} <> '' THEN {T.page_token(token, d)} END"
+
+    t = d.once(f"(SELECT doc_id, source_page, row_no, row_text FROM {rows} WHERE NOT {T.noise('row_text', d)})", r=T.open_brackets("row_text", d))
+    t = d.once(t, whole=whole_token)
+    own_title, own_page = cleaned("whole", whole_title)
+    t = d.once(t, own_title=own_title, own_page=own_page)
+    t = d.once(t, done=f"coalesce({good('own_title', 'own_page')}, false)")
+    t = d.once(t, m=f"CASE WHEN done THEN '' ELSE {T.marked('r', d)} END")
+    pieces = f"CASE WHEN done THEN {d.items(repr(''))} WHEN {marked} THEN {d.split('m', 'chr(1)')} ELSE {d.items('r')} END"
+    t = f"(SELECT * FROM {d.unnest(t, pieces, 'piece', 'item_no')} AS x WHERE item_no > 1 OR NOT {marked})"
+    t = d.once(t, token=f"CASE WHEN done THEN '' WHEN {marked} THEN {piece_token} ELSE {plain_token} END")
+    title, page = cleaned("token", f"CASE WHEN {marked} THEN {piece_title} ELSE {plain_title} END")
+    t = d.once(t, title=f"CASE WHEN done THEN own_title ELSE {title} END", logical_page=f"CASE WHEN done THEN own_page ELSE {page} END")
+    return f"""SELECT doc_id, source_page, row_no, CAST(item_no AS INT) AS item_no, title, CAST(logical_page AS INT) AS logical_page FROM {t} AS u
+WHERE done OR {good('title', 'logical_page')}"""
 
 
 def entries_sql(d: SparkDialect, items: str) -> str:

@@ -58,6 +58,13 @@ class SparkDialect:
         """table with one row for each element of xs: columns var and at (from 1)."""
         return f"(SELECT __t.*, __p + 1 AS {at}, {var} FROM {table} __t LATERAL VIEW posexplode({xs}) __e AS __p, {var})"
 
+    def once(self, table: str, **found: str) -> str:
+        """table with further columns, each evaluated once: neither filters nor projections repeat them."""
+        return f"(SELECT __t.*, {', '.join(found)} FROM {table} __t LATERAL VIEW inline(array(struct({', '.join(found.values())}))) __s AS {', '.join(found)})"
+
+    def items(self, *xs: str) -> str:
+        return f"array({', '.join(xs)})"
+
     def agg_text(self, x: str, by: str, order: str) -> str:
         return f"listagg({x}, {by}) WITHIN GROUP (ORDER BY {order})"
 
@@ -111,6 +118,12 @@ class DuckDialect(SparkDialect):
     def unnest(self, table: str, xs: str, var: str, at: str) -> str:
         return f"(SELECT * FROM (SELECT __t.*, unnest(range(1, len({xs}) + 1)) AS {at}, unnest({xs}) AS {var} FROM {table} __t))"
 
+    def once(self, table: str, **found: str) -> str:
+        return f"(SELECT *, {', '.join(f'{x} AS {name}' for name, x in found.items())} FROM {table})"
+
+    def items(self, *xs: str) -> str:
+        return f"[{', '.join(xs)}]"
+
     def agg_text(self, x: str, by: str, order: str) -> str:
         return f"string_agg({x}, {by} ORDER BY {order})"
 

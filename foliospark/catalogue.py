@@ -202,7 +202,7 @@ def _entries_front(d, t):
 
 
 def _front_pages(d, t):
-    return f"SELECT doc_id, CAST(1 + doc_id % 4 AS INT) AS page_no, CASE WHEN doc_id % 3 = 0 THEN '前' || chr(10) || '言 本书' WHEN doc_id % 3 = 1 THEN repeat('x', 150) || '前言' ELSE '前言' END AS text FROM ({X.books(d, t)}) AS b3"
+    return f"SELECT doc_id, page_no, {T.usable('text', d=d)} AS text FROM (SELECT doc_id, CAST(1 + doc_id % 4 AS INT) AS page_no, CASE WHEN doc_id % 3 = 0 THEN '前' || chr(10) || '言 本书' WHEN doc_id % 3 = 1 THEN repeat('x', 150) || '前言' ELSE '前言' END AS text FROM ({X.books(d, t)}) AS b3) AS b4"
 
 
 def front_matter_probe(d, t):

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from ..functions import text as T
 from ..plans.sql import SPARK, SparkDialect, run
 
-SEARCH_PAGES, SAMPLE_PAGES = 35, 10
+SEARCH_PAGES, SAMPLE_PAGES, WEAK = 35, 10, 40
 EMPTY_AS_TEXT = "coalesce(text, '')"
 MARKER = "folio searchable layer"
 
@@ -68,7 +68,7 @@ e AS (SELECT doc_id, lo, hi, row_number() OVER (PARTITION BY doc_id ORDER BY n D
 SELECT doc_id, CAST(page_no AS INT) AS page_no FROM (SELECT doc_id, {pages} AS page_no FROM e WHERE place = 1) AS f"""
 
 
-def toc_group_lang_sql(d: SparkDialect, scored: str, first: int = SEARCH_PAGES, weak: int = 40) -> str:
+def toc_group_lang_sql(d: SparkDialect, scored: str, first: int = SEARCH_PAGES, weak: int = WEAK) -> str:
     """Pages of the best run of adjacent candidates in one language that holds a strong page.
 
     scored may carry n_parsed: readable pages that are weak need two parsed entries.

@@ -126,7 +126,7 @@ def test_outline_of_a_text_book(spark):
 
 def test_pages_without_text_use_recognised_items(spark):
     docs, pages, spans, known = book(spark, text_layer=False)
-    toc = jobs.contents_pages(pages, known.items)
+    toc = jobs.contents_pages(pages, known.items, spans)
     assert toc.count() == 0  # titles without numbers are no contents page
     from foliospark.operators import toc as C
 

@@ -179,3 +179,58 @@ def test_margin_vote_prefers_crops_over_confidence(spark):
     rows = [(1, 1, 1, 0, 10.0, 2, 0.4), (1, 1, 2, 1, 11.0, 2, 0.3), (1, 1, 3, 2, 10.5, 7, 0.99), (1, 1, 4, 0, 40.0, 5, 0.5)]
     out = R.margin_votes(spark.createDataFrame(rows, "doc_id int, page_no int, seq int, crop_ix int, y double, value int, conf double"))
     assert [(r["number_no"], r["y"], r["value"]) for r in out.orderBy("number_no").collect()] == [(1, 10.5, 2), (2, 40.0, 5)]
+
+
+def vote_rule(items, hits, known, last, n_pages, radius=4):
+    """Entries in turn; pages recognised on the way are known to later entries."""
+    rough, cache, votes = last + 1 - min(p for _, p in items), set(known), {}
+    for no, logical in items:
+        seen = [p for p in sorted(cache) if last < p <= n_pages and (no, p) in hits]
+        if seen:
+            votes[no] = seen[0] - logical
+            continue
+        for p in range(max(last + 1, logical + rough - radius), min(n_pages, logical + rough + radius) + 1):
+            if p not in cache:
+                cache.add(p)
+                if (no, p) in hits:
+                    votes[no] = p - logical
+                    break
+    return votes
+
+
+def test_recognised_pages_become_known(spark):
+    rng, ents, rows, known, docs, expected = random.Random(12), [], [], [], [], {}
+    for doc in range(40):
+        last, n = rng.randint(1, 4), rng.randint(15, 40)
+        items = [(i, rng.randint(1, 25)) for i in range(1, rng.randint(2, 7))]
+        hits = {(no, rng.randint(1, n + 2)) for no, _ in items for _ in range(rng.randint(0, 4))}
+        read = {p for p in range(1, n + 1) if rng.random() < 0.15}
+        docs.append((doc, last, n))
+        ents += [(doc, no, f"heading{chr(96 + no)}", p) for no, p in items]
+        rows += [(doc, p, float(no), 1.0, 20.0, f"heading{chr(96 + no)}") for no, p in hits]
+        known += [(doc, p) for p in read]
+        expected |= {(doc, no): v for no, v in vote_rule(items, hits, read, last, n).items()}
+    out = P.ocr_votes(
+        spark.createDataFrame(ents, "doc_id int, entry_no int, title string, logical_page int"),
+        spark.createDataFrame(rows, "doc_id int, page_no int, y double, x0 double, y0 double, row_text string"),
+        spark.createDataFrame(known, "doc_id int, page_no int"),
+        spark.createDataFrame(docs, "doc_id int, last_toc_page int, n_pages int"),
+    )
+    assert {(r["doc_id"], r["entry_no"]): r["vote"] for r in out.collect()} == expected
+
+
+def test_destination_cascade(spark):
+    targets = spark.createDataFrame([(1, i, f"title{c}", 5) for i, c in enumerate("abc")] + [(1, 3, "titled", 6)], "doc_id int, entry_no int, title string, target_page int")
+    schema = "doc_id int, page_no int, y double, x0 double, y0 double, row_text string"
+    ocr = spark.createDataFrame([(1, 5, 1.0, 7.0, 20.0, f"title{c}") for c in "abc"] + [(1, 6, 1.0, 7.0, 20.0, "titled")], schema)
+    text = spark.createDataFrame([(1, 5, 1.0, 9.0, 20.0, "titlea"), (1, 5, 1.0, 9.0, 20.0, "titlec"), (1, 6, 1.0, 9.0, 20.0, "titled")], schema)
+    pages = spark.createDataFrame([(1, 5, "some text"), (1, 6, "")], "doc_id int, page_no int, text string")
+    known = spark.createDataFrame([(1, 6)], "doc_id int, page_no int")
+
+    def found(*options, **more):
+        return [r["dest_source"] for r in P.destinations(targets, ocr, text, pages, *options, **more).orderBy("entry_no").collect()]
+
+    assert found() == ["text", "page_top", "text", "page_top"]
+    assert found(known) == ["text", "page_top", "text", "ocr"]
+    assert found(ocr_fallback=True) == ["text", "ocr", "ocr", "ocr"]  # the page is known once it was recognised for the second
+    assert found(use_ocr=True) == ["ocr"] * 4

@@ -9,7 +9,7 @@ from __future__ import annotations
 import itertools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import geometry as G
@@ -21,7 +21,8 @@ from .operators import outline as O
 from .operators import rows as R
 from .operators import toc as C
 from .plans import fixtures as X
-from .plans.sql import DUCK, SPARK
+from .plans import jobs
+from .plans.sql import DUCK, SPARK, cut
 from .sources import page_ranges, toc_text
 
 _count = itertools.count()
@@ -42,8 +43,12 @@ class Names(dict):
         return view
 
 
-def frame(spark: SparkSession, sf_dir: str, builder: Builder) -> DataFrame:
+def frame(spark: SparkSession, sf_dir: str, builder: Builder, **written: DataFrame) -> DataFrame:
+    """builder over the base tables and the written relations that it can read instead of deriving them."""
     names = Names(spark, sf_dir)
+    for name, table in written.items():
+        names[name] = f"__folio_written_{name}_{next(_count)}"
+        table.createOrReplaceTempView(names[name])
     try:
         return spark.sql(builder(SPARK, names))
     finally:
@@ -62,6 +67,8 @@ def items(d, t):
 
 
 def entries(d, t):
+    if "entries" in t:
+        return f"SELECT * FROM {t['entries']}"
     return C.entries_sql(d, f"({items(d, t)}) AS it")
 
 
@@ -173,16 +180,16 @@ def _lookups(d, t):
 FROM ({P.voters_sql(d, sub(entries(d, t)) + ' AS en')}) AS e JOIN ({X.books(d, t)}) AS b ON e.doc_id = b.doc_id"""
 
 
-def heading_lookup(d, t):
+def _heading_lookup(d, t):
     return P.best_heading_sql(d, f"({_lookups(d, t)}) AS lk", f"({X.body_rows(d, t)}) AS br")
 
 
 def _votes(d, t):
-    return f"""SELECT h.doc_id, h.entry_no, CAST(min(h.page_no) - min(e.logical_page) AS INT) AS vote FROM ({heading_lookup(d, t)}) AS h
+    return f"""SELECT h.doc_id, h.entry_no, CAST(min(h.page_no) - min(e.logical_page) AS INT) AS vote FROM ({_heading_lookup(d, t)}) AS h
 JOIN ({entries(d, t)}) AS e ON h.doc_id = e.doc_id AND h.entry_no = e.entry_no GROUP BY h.doc_id, h.entry_no"""
 
 
-def offset_vote(d, t):
+def _offset_vote(d, t):
     return P.offset_sql(d, f"({_votes(d, t)}) AS vo", f"({X.books(d, t)})", f"({entries(d, t)}) AS en")
 
 
@@ -240,11 +247,7 @@ def _cascade(d, t):
 FROM ({marks}) AS m LEFT JOIN ({ocr}) AS o ON m.doc_id = o.doc_id AND m.entry_no = o.entry_no LEFT JOIN ({text}) AS n ON m.doc_id = n.doc_id AND m.entry_no = n.entry_no"""
 
 
-def coordinate_cascade(d, t):
-    return _cascade(d, t)
-
-
-def bookmark_summary(d, t):
+def _bookmark_summary(d, t):
     return O.summary_sql(d, f"({_cascade(d, t)}) AS bm")
 
 
@@ -255,7 +258,7 @@ FROM ({text_layer_stats(d, t)}) AS s JOIN ({text_quality(d, t)}) AS q ON s.doc_i
     return D.document_kind_sql(d, f"({stats}) AS st")
 
 
-def merge_levels(d, t):
+def _merge_levels(d, t):
     """Each contents page parsed alone, then renumbered and clamped over the whole document."""
     per_page = f"SELECT doc_id, source_page, row_number() OVER (PARTITION BY doc_id, source_page ORDER BY entry_no) AS entry_no, title, logical_page, CASE WHEN row_number() OVER (PARTITION BY doc_id, source_page ORDER BY entry_no) = 1 THEN 1 ELSE level END AS level FROM ({entries(d, t)}) AS e"
     return f"""WITH a AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY source_page, entry_no) AS INT) AS place FROM ({per_page}) AS pp),
@@ -268,13 +271,67 @@ SQL_QUERIES: dict[str, Builder] = {
     "noise_filter": noise_filter, "roman_to_int": roman_to_int, "level_guess": level_guess, "row_tokenize_multi": row_tokenize_multi, "margin_token": margin_token, "heal_rows": heal_rows,
     "toc_text_export": toc_text_export, "toc_text_import": toc_text_import, "toc_text_errors": toc_text_errors, "text_layer_stats": text_layer_stats, "text_quality": text_quality,
     "has_text_layer": has_text_layer, "missing_text_pages": missing_text_pages, "script_language": script_language, "toc_page_score": toc_page_score, "toc_groups_text": toc_groups_text,
-    "toc_groups_lang": toc_groups_lang, "heading_lookup": heading_lookup, "offset_vote": offset_vote, "offset_fallback": offset_fallback, "toc_needs_ocr": toc_needs_ocr,
+    "toc_groups_lang": toc_groups_lang, "offset_fallback": offset_fallback, "toc_needs_ocr": toc_needs_ocr,
     "front_matter_probe": front_matter_probe, "bookmark_resolve": bookmark_resolve, "bookmark_subset": bookmark_subset, "bookmark_range_reject": bookmark_range_reject, "bookmark_valid": bookmark_valid,
-    "bookmark_preview": bookmark_preview, "coordinate_cascade": coordinate_cascade, "bookmark_summary": bookmark_summary, "document_kind": document_kind, "merge_levels": merge_levels,
+    "bookmark_preview": bookmark_preview, "document_kind": document_kind,
 }
 
 
-# DataFrame queries.
+# DataFrame queries.  Those over books write the relations they use several times.
+
+def _books(spark, sf_dir):
+    rows = cut(frame(spark, sf_dir, X.toc_rows))
+    found = {"toc_rows": rows, "books": cut(frame(spark, sf_dir, X.books, toc_rows=rows))}
+    return found | {"entries": cut(frame(spark, sf_dir, entries, **found))}
+
+
+def heading_lookup(spark, sf_dir):
+    own = _books(spark, sf_dir)
+    return P.find_headings(frame(spark, sf_dir, _lookups, **own), frame(spark, sf_dir, X.body_rows, **own))
+
+
+def offset_vote(spark, sf_dir):
+    own = _books(spark, sf_dir)
+    votes = P.text_votes(own["entries"], frame(spark, sf_dir, X.body_rows, **own), own["books"])
+    return P.page_offset(cut(votes), own["books"], own["entries"])
+
+
+def coordinate_cascade(spark, sf_dir):
+    own = _books(spark, sf_dir)
+    front, pages = cut(frame(spark, sf_dir, _entries_front, **own)), frame(spark, sf_dir, _front_pages, **own)
+    marks = cut(O.bookmarks(front, own["books"], P.preface_pages(front, pages)))
+    rows = cut(frame(spark, sf_dir, X.body_rows, **own))
+    text = rows.select("doc_id", "page_no", F.lit("readable text").alias("text")).distinct()
+    found = P.destinations(marks, rows.where("page_no % 2 = 0"), rows.withColumn("x0", F.col("x0") + 1), text, use_ocr=True)
+    return found.select("doc_id", "entry_no", "target_page", "clipped", "dest.x", "dest.y", "dest_source")
+
+
+def bookmark_summary(spark, sf_dir):
+    return O.summary(coordinate_cascade(spark, sf_dir))
+
+
+def merge_levels(spark, sf_dir):
+    page = Window.partitionBy("doc_id", "source_page").orderBy("entry_no")
+    found = frame(spark, sf_dir, entries).withColumn("on_page", F.row_number().over(page))
+    alone = found.withColumn("entry_no", F.col("on_page")).withColumn("level", F.when(F.col("on_page") == 1, 1).otherwise(F.col("level")))
+    return C.merge_pages(alone.drop("on_page", "raw_text"))
+
+
+def weak_page_groups(spark, sf_dir):
+    """Contents pages where the page after them scores weakly: it counts if its lines parse to entries."""
+    own = _books(spark, sf_dir)
+    lines = cut(frame(spark, sf_dir, X.weak_pages, **own))
+    y = F.col("line_no") * 12.0 + 60
+    spans = lines.select("doc_id", "page_no", F.col("line_no").alias("span_no"), F.col("line").alias("text"), F.lit(50.0).alias("x0"), y.alias("y0"), F.lit(300.0).alias("x1"), (y + 8).alias("y1"))
+    pages = frame(spark, sf_dir, X.toc_text, **own).unionByName(lines.groupBy("doc_id", "page_no").agg(F.listagg("line", F.lit("\n")).alias("text")))
+    none = spark.createDataFrame([], "doc_id long, page_no int, item_no int, text string")
+    return jobs.contents_pages(pages.withColumn("height", F.lit(800.0)), none, spans)
+
+
+def left_number_rows(spark, sf_dir):
+    return R.left_numbers(frame(spark, sf_dir, X.numbering))
+
+
 
 def row_cluster_mean(spark, sf_dir):
     return R.page_rows(frame(spark, sf_dir, X.fragments), 3.0)
@@ -285,7 +342,8 @@ def row_cluster_anchor(spark, sf_dir):
 
 
 def row_assemble(spark, sf_dir):
-    spans = frame(spark, sf_dir, X.fragments).selectExpr("doc_id", "page_no", "span_no", "text", "x0", "y0", "x0 + 5 AS x1", "y0 + 8 AS y1")
+    text = "CASE WHEN span_no % 60 = 0 AND doc_id % 3 = 0 THEN 'www.' || text ELSE text END AS text"  # noise at the top of a page
+    spans = frame(spark, sf_dir, X.fragments).selectExpr("doc_id", "page_no", "span_no", text, "floor(x0 / 12) * 12.0D AS x0", "y0", "x0 + 5 AS x1", "y0 + 10 AS y1")
     pages = spans.selectExpr("doc_id", "page_no", "72.0D AS height").distinct()
     return R.span_rows(spans, pages)
 
@@ -303,7 +361,8 @@ def _tokens(d, t):
 
 
 def nearest_band_match(spark, sf_dir):
-    rows = frame(spark, sf_dir, X.titles).withColumn("row_text", F.concat(F.lit("1 电气 "), "title"))
+    lead = F.element_at(F.array(F.lit("1 电气 "), F.lit("电气 "), F.lit("7 电气 ")), F.col("row_no") % 3 + 1)
+    rows = frame(spark, sf_dir, X.titles).withColumn("row_text", F.concat(lead, "title"))
     return R.repair_numbering(rows, frame(spark, sf_dir, _tokens)).select("doc_id", "row_no", "row_text")
 
 
@@ -345,7 +404,38 @@ def ocr_failure_report(spark, sf_dir):
     return report.withColumn("failed_pages", F.array_join(F.col("failed_pages").cast("array<string>"), ","))
 
 
-FRAME_QUERIES = {f.__name__: f for f in (row_cluster_mean, row_cluster_anchor, row_assemble, margin_vote, greedy_band_match, nearest_band_match, quad_rect, draw_ops, scan_coverage, page_range_parse, ocr_failure_report)}
+FRAME_QUERIES = {f.__name__: f for f in (heading_lookup, offset_vote, coordinate_cascade, bookmark_summary, merge_levels, weak_page_groups, left_number_rows, row_cluster_mean, row_cluster_anchor, row_assemble, margin_vote, greedy_band_match, nearest_band_match, quad_rect, draw_ops, scan_coverage, page_range_parse, ocr_failure_report)}
+
+
+
+def _fold(fragments: str, order: str, tolerance: float, anchored: bool = False) -> str:
+    """WITH o, g: fragments of a page in order with the row (cl) each joins, one fragment a step.
+
+    Heights ascend, so only the latest row can be near enough.  total / n is the row's height.
+    """
+    near = f"abs(g.total / g.n - o.y) <= {tolerance}"
+    total, n = ("g.total", "1") if anchored else ("g.total + o.y", "g.n + 1")
+    return f"""WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY {order}) AS k FROM ({fragments})),
+g AS (SELECT doc_id, page_no, k, CAST(1 AS BIGINT) AS cl, 0.0::DOUBLE + y AS total, CAST(1 AS BIGINT) AS n FROM o WHERE k = 1
+  UNION ALL SELECT o.doc_id, o.page_no, o.k, CASE WHEN {near} THEN g.cl ELSE g.cl + 1 END, CASE WHEN {near} THEN {total} ELSE o.y END, CASE WHEN {near} THEN {n} ELSE 1 END
+  FROM g JOIN o ON o.doc_id = g.doc_id AND o.page_no = g.page_no AND o.k = g.k + 1),
+m AS (SELECT o.*, g.cl, g.total / g.n AS now FROM o JOIN g ON o.doc_id = g.doc_id AND o.page_no = g.page_no AND o.k = g.k)"""
+
+
+def _rows_twin(fragments: str, order: str, tolerance: float, by: str, tie: str, anchored: bool = False, sort_rows: bool = False) -> str:
+    place = "CAST(row_number() OVER (PARTITION BY doc_id, page_no ORDER BY y, cl) AS INT)" if sort_rows else "CAST(cl AS INT)"
+    return f"""{_fold(fragments, order, tolerance, anchored)},
+w AS (SELECT doc_id, page_no, cl, arg_max(now, k) AS y, min(x0) AS x0, min(y0) AS y0, string_agg(text, '{by}' ORDER BY x0, {tie}) AS row_text FROM m GROUP BY doc_id, page_no, cl)
+SELECT doc_id, page_no, {place} AS row_no, y, x0, y0, row_text FROM w"""
+
+
+_FRAGMENTS = X.fragments(DUCK, X.PLAIN)
+_SPANS = f"""SELECT doc_id, page_no, span_no, text, x0, y0, (y0 + y0 + 10) / 2 AS y FROM (SELECT doc_id, page_no, span_no, {T.strip("CASE WHEN span_no % 60 = 0 AND doc_id % 3 = 0 THEN 'www.' || text ELSE text END", DUCK)} AS text, floor(x0 / 12) * 12.0 AS x0, y0 FROM ({_FRAGMENTS}))
+WHERE text <> '' AND NOT (y0 < 72.0 * 0.08 AND {T.noise('text', DUCK)}) AND NOT (y0 + 10 > 72.0 * 0.94 AND (length(text) <= 6 OR regexp_matches(text, '^\\p{{Nd}}+\\z')))"""
+_NUMBERS = f"""SELECT doc_id, page_no, y, x0, y AS y0, text FROM (SELECT doc_id, page_no, y, x0, replace({T.compact('token', DUCK)}, '。', '.') AS text FROM ({X.numbering(DUCK, X.PLAIN)}))
+WHERE regexp_matches(text, '^[0-9]{{1,3}}([.][0-9]{{1,3}}){{0,3}}$')"""
+_WEAK = f"""SELECT doc_id, page_no, text, NULL AS n_parsed FROM ({X.toc_text(DUCK, X.PLAIN)})
+UNION ALL SELECT doc_id, page_no, string_agg(line, chr(10)), CASE WHEN doc_id % 2 = 0 THEN count(*) ELSE 0 END FROM ({X.weak_pages(DUCK, X.PLAIN)}) GROUP BY doc_id, page_no"""
 
 TWINS = {
     "quad_rect": """SELECT l_orderkey, l_linenumber, least(l_quantity, l_tax, l_linenumber, l_discount) * 0.5 AS x0, least(l_discount, l_linenumber, l_tax, l_quantity) * 2.0 AS y0,
@@ -367,7 +457,25 @@ g AS (SELECT doc_id, k, y, value, crop_ix, conf, CAST(1 AS BIGINT) AS cl, y AS t
 v AS (SELECT doc_id, cl, value, count(DISTINCT crop_ix) AS crops, list_reduce(list(conf ORDER BY k), lambda x, z: x + z) AS conf, avg(y) AS y, min(k) AS f FROM g GROUP BY doc_id, cl, value),
 b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, cl ORDER BY crops DESC, conf DESC, f) AS place FROM v)
 SELECT doc_id, 1 AS page_no, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY y, cl) AS INT) AS number_no, y, value FROM b WHERE place = 1""",
+    "heading_lookup": _heading_lookup(DUCK, X.PLAIN), "offset_vote": _offset_vote(DUCK, X.PLAIN), "coordinate_cascade": _cascade(DUCK, X.PLAIN),
+    "bookmark_summary": _bookmark_summary(DUCK, X.PLAIN), "merge_levels": _merge_levels(DUCK, X.PLAIN),
+    "weak_page_groups": D.toc_group_lang_sql(DUCK, f"(SELECT s.*, w.n_parsed FROM ({D.toc_score_sql(DUCK, sub(_WEAK))}) AS s JOIN ({_WEAK}) AS w ON s.doc_id = w.doc_id AND s.page_no = w.page_no)"),
+    "row_cluster_mean": _rows_twin(_FRAGMENTS, "y, x0, text, y0", 3.0, " ", "text"),
+    "row_cluster_anchor": _rows_twin(_FRAGMENTS, "y, x0, text, y0", 3.0, "", "text", anchored=True),
+    "left_number_rows": f"SELECT doc_id, page_no, y, row_text AS token FROM ({_rows_twin(_NUMBERS, 'y, x0, text', 3.0, '', 'text', anchored=True)})",
+    "row_assemble": f"""SELECT * FROM (SELECT doc_id, page_no, row_no, y, x0, y0, {T.heal_row(T.strip('row_text', DUCK), DUCK)} AS row_text FROM ({_rows_twin(_SPANS, 'y, x0, span_no', 6.0, ' ', 'k', sort_rows=True)})) WHERE NOT {T.noise('row_text', DUCK)}""",
+    "nearest_band_match": f"""WITH r AS (SELECT *, ['1 电气 ', '电气 ', '7 电气 '][row_no % 3 + 1] || title AS row_text FROM ({X.titles(DUCK, X.PLAIN)})),
+n AS (SELECT r.doc_id, r.row_no, c.seq || '1' AS token, row_number() OVER (PARTITION BY r.doc_id, r.row_no ORDER BY abs(r.y - c.y), c.seq || '1') AS place
+  FROM r JOIN ({X.candidates(DUCK, X.PLAIN)}) AS c ON c.doc_id = r.doc_id AND abs(r.y - c.y) <= 4)
+SELECT r.doc_id, r.row_no, CASE WHEN n.token IS NULL OR r.row_no % 3 = 2 THEN r.row_text ELSE n.token || ' 电气 ' || r.title END AS row_text FROM r LEFT JOIN n ON n.doc_id = r.doc_id AND n.row_no = r.row_no AND n.place = 1""",
 }
+TWINS["greedy_band_match"] = f"""WITH RECURSIVE nums AS (SELECT doc_id, list({{'no': number_no, 'y': y, 'value': value}} ORDER BY number_no) AS numbers FROM ({TWINS['margin_vote']}) GROUP BY doc_id),
+t AS (SELECT t.doc_id, t.row_no, t.y, t.title, nums.numbers FROM ({X.titles(DUCK, X.PLAIN)}) AS t JOIN nums ON t.doc_id = nums.doc_id),
+g AS (SELECT doc_id, 0 AS row_no, CAST([] AS INT[]) AS taken, '' AS title, CAST(NULL AS INT) AS no, CAST(NULL AS INT) AS logical_page FROM nums
+  UNION ALL SELECT doc_id, row_no, list_append(taken, pick.no), title, pick.no, pick.value FROM
+    (SELECT t.doc_id, t.row_no, t.title, g.taken, list_sort(list_transform(list_filter(t.numbers, lambda n: abs(t.y - n.y) <= 8 AND NOT list_contains(g.taken, n.no)), lambda n: {{'d': abs(t.y - n.y), 'no': n.no, 'value': n.value}}))[1] AS pick
+     FROM g JOIN t ON t.doc_id = g.doc_id AND t.row_no = g.row_no + 1))
+SELECT doc_id, 1 AS page_no, row_no, title, logical_page FROM g WHERE no IS NOT NULL"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

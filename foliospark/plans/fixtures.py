@@ -17,7 +17,10 @@ def toc_rows(d: SparkDialect, t: dict[str, str]) -> str:
 
     (doc_id, idx, source_page, row_no, numbering, name, row_text); contents start on page 2 with
     12 rows a page, every 17th row is a web address.
+    Where t names the written relation, it is read.
     """
+    if "toc_rows" in t:
+        return f"SELECT * FROM {t['toc_rows']}"
     return f"""SELECT doc_id, idx, CAST(2 + floor((idx - 1) / 12) AS INT) AS source_page, CAST((idx - 1) % 12 + 1 AS INT) AS row_no, numbering, name,
   CASE WHEN idx % 17 = 0 THEN 'www.example.com' ELSE numbering || ' ' || name || ' ........ (' || CAST(idx AS STRING) || ')' END AS row_text
 FROM (SELECT doc_id, name, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ch, sec) AS INT) AS idx,
@@ -30,6 +33,8 @@ FROM (SELECT doc_id, name, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY
 
 def books(d: SparkDialect, t: dict[str, str]) -> str:
     """(doc_id, last_toc_page, n_pages, page_offset): true offset = last contents page + doc_id % 3; every 7th book lacks its last pages."""
+    if "books" in t:
+        return f"SELECT * FROM {t['books']}"
     return f"""SELECT doc_id, max(source_page) AS last_toc_page, CAST(max(source_page) + doc_id % 3 + max(idx) - CASE WHEN doc_id % 7 = 0 THEN 2 ELSE 0 END AS INT) AS n_pages,
   CAST(max(source_page) + doc_id % 3 AS INT) AS page_offset FROM ({toc_rows(d, t)}) AS r GROUP BY doc_id"""
 
@@ -74,3 +79,15 @@ def titles(d: SparkDialect, t: dict[str, str]) -> str:
     """Title rows on the same pages, beside the candidates."""
     return f"""SELECT l_orderkey AS doc_id, 1 AS page_no, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS row_no,
   CAST(20 * l_linenumber + (l_partkey * 3) % 9 - 4 AS DOUBLE) AS y, 'TITLE ' || CAST(l_partkey AS STRING) AS title FROM {t['lineitem']}"""
+
+
+def weak_pages(d: SparkDialect, t: dict[str, str]) -> str:
+    """(doc_id, page_no, line_no, line): five lines on the page after the contents; only those of even books are titles."""
+    return f"""SELECT b.doc_id, b.last_toc_page + 1 AS page_no, r.idx AS line_no, CASE WHEN b.doc_id % 2 = 0 THEN '总则与范围 ' ELSE 'of the ' END || lower(r.name) || ' ' || CAST(r.idx AS STRING) AS line
+FROM ({books(d, t)}) AS b JOIN ({toc_rows(d, t)}) AS r ON b.doc_id = r.doc_id WHERE r.idx <= 5"""
+
+
+def numbering(d: SparkDialect, t: dict[str, str]) -> str:
+    """Tokens of the numbering column, some with a wide full stop, some no numbers, some close to each other."""
+    token = "CASE seq % 5 WHEN 0 THEN 'x' || CAST(value AS STRING) WHEN 1 THEN CAST(value AS STRING) || '。' || CAST(seq AS STRING) WHEN 2 THEN ' ' || CAST(seq AS STRING) ELSE CAST(seq AS STRING) || '.' END"
+    return f"SELECT doc_id, page_no, floor(y / 2) AS y, CAST(value * 10 + seq AS DOUBLE) AS x0, {token} AS token FROM ({candidates(d, t)}) AS c"

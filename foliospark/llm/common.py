@@ -99,12 +99,27 @@ def without(docs: DataFrame, flagged, name: str) -> DataFrame:
     return docs.join(gone, key == gone["__gone"], "left_anti")
 
 
-def worker_cache() -> dict:
-    """A dict that outlives the tasks of one Python worker."""
+def worker_cache(owner: str) -> dict:
+    """A dict that outlives the tasks of one Python worker, of one operator at a time: another's goes."""
     import sys
     import types
 
     home = sys.modules.setdefault("_foliospark_worker", types.ModuleType("_foliospark_worker"))
-    if not hasattr(home, "cache"):
-        home.cache = {}
+    if getattr(home, "owner", None) != owner:
+        home.owner, home.cache = owner, {}
+        release()
     return home.cache
+
+
+def release() -> None:
+    """Gives the memory that this Python worker has freed back to the system: workers live on between tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

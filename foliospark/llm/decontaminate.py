@@ -138,7 +138,7 @@ def _matcher(folder: str, rate: float) -> Matcher:
     import pyarrow.dataset as ds
     from pyarrow.fs import FileSystem
 
-    cache = common.worker_cache()
+    cache = common.worker_cache("decontaminate")
     if cache.get("matcher", (None,))[0] != (folder, rate):
         fs, path = FileSystem.from_uri(folder)
         items = ds.dataset(path, schema=pa.schema([("item_id", pa.int64()), ("text", pa.string())]), filesystem=fs, format="parquet").to_table()

@@ -103,6 +103,7 @@ def _sketch(batches: Iterator) -> Iterator:
             [batch.column("row"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
             ["row", "doc_id", "n_shingles", "node", "sig", "bands"],
         )
+    common.release()
 
 
 def _sets(batches: Iterator) -> Iterator:
@@ -110,6 +111,7 @@ def _sets(batches: Iterator) -> Iterator:
     for batch in batches:
         found = [s.tobytes() for s in shingle_sets(hasher, batch.column("text"))]
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.binary())], ["id", "shingles"])
+    common.release()
 
 
 def _prune(batches: Iterator) -> Iterator:

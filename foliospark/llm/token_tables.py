@@ -35,8 +35,8 @@ from . import common
 SHARD_BYTES = 32 << 20  # UTF-8 text bytes per shard
 BLOCK_BYTES = 64 << 10  # raw bytes per block
 BLOOM_BITS, BLOOM_HASHES = 10, 7  # bits per key, probes
-GROUP_BYTES = 8 << 20  # text encoded at a time
-CACHE_UNITS = 500_000  # text units whose ids a worker remembers
+GROUP_BYTES = 4 << 20  # text encoded at a time
+CACHE_UNITS = 400_000  # text units whose ids a worker remembers
 FOOTER = "<8sQQQQQQB7x"  # magic, index at, bloom at, blocks, bloom bytes, docs, ids, id width
 MAGIC = b"FOLIOST1"
 _NULL = b"\0" * 8
@@ -253,7 +253,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 0, shard_bytes: int = S
         from pyarrow.fs import FileSystem
         from pyspark import TaskContext
 
-        cache = common.worker_cache()
+        cache = common.worker_cache("token_tables")
         encode = cache.get(tokenizer)
         if encode is None:
             encode = cache[tokenizer] = Encoder(tokenizer)
@@ -275,6 +275,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 0, shard_bytes: int = S
             n_docs, n_ids = writer.close()
             stream.close()
             columns = [pa.array([v], t) for v, t in ((number, pa.int32()), (uri, pa.string()), (n_docs, pa.int64()), (n_ids, pa.int64()), (first, pa.int64()), (last, pa.int64()))]
+            common.release()
             yield pa.RecordBatch.from_arrays(columns, ["shard", "path", "n_docs", "n_ids", "first", "last"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 
 from . import common
 
+WORD = r"[^\x20\x09-\x0D]"
 WEIGHTS = (5.0, 2.0, 1.0)  # by source in code-point order, repeating, null last
 SHARE, EPOCHS = 1.5, 2.0  # of all words; most times a source is read
 BLOCK_WORDS = 512
@@ -38,7 +39,7 @@ SLOT_CHUNK = 1 << 14
 
 
 def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(f"{WORD}+")), F.lit(0)).cast("long")
 
 
 def water_fill(sizes: list[int], weights: list[float], share: float, epochs: float) -> list[float]:
@@ -102,6 +103,20 @@ def _whole_row(docs: DataFrame) -> list[Column]:
     return [F.to_json(f.name) if isinstance(f.dataType, T.MapType) else docs[f.name] for f in docs.schema.fields]
 
 
+def _row(h: Column, copy: Column) -> Column:
+    return F.xxhash64(h, copy)
+
+
+def _parts(n_rows: int) -> int:
+    return max(1, -(-n_rows // STRETCH_ROWS))
+
+
+def _spot(row: Column, doc_id: Column, parts: int) -> Column:
+    """Where a row stands in its source's stream; stretches (place) are ranges of the hash."""
+    place = F.floor((F.shiftrightunsigned(row, 16).cast("double") / float(1 << 48)) * parts)
+    return F.struct(place.alias("place"), row.alias("row"), doc_id.alias("doc_id"))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS, block_words: int = BLOCK_WORDS, seed: int = 1, equal: list[Column] | None = None):
     """(plan, schedule) for docs(doc_id, source, text).
 
@@ -118,7 +133,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     n_rows = sized.count()
     # The upper bits of at are the partition that wrote the row, so equal rows share no larger window.
     numbered = _stretches(sized, ["h"], F.shiftright("at", 33), [F.col("at")], "one", "copy", scratch)
-    sized = scratch.keep(numbered.drop("at", "one").withColumn("row", F.xxhash64("h", "copy")), "rows")
+    sized = scratch.keep(numbered.drop("at", "one").withColumn("row", _row(F.col("h"), F.col("copy"))), "rows")
     scratch.drop("sized", "stretches-copy")
 
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -139,12 +154,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     slots = points.select("source_no", slot.cast("long").alias("slot"), F.lit(1).cast("long").alias("one"))
     slots = scratch.keep(_stretches(slots, ["source_no"], F.floor(F.col("slot") / STRETCH_ROWS), [F.col("slot")], "one", "block", scratch), "slots").select("source_no", "slot", "block")
 
-    # Streams: documents in hash order; stretches are ranges of the hash.
-    parts = max(1, -(-n_rows // STRETCH_ROWS))
+    # Streams: documents in hash order.
+    spot = _spot(F.col("row"), F.col("doc_id"), _parts(n_rows))
     numbered = sized.join(aims.select(F.col("source").alias("s"), "source_no", "aim", "source_size", "target"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     # eqNullSafe keeps the null source; the aims table has one row per source.
-    place = F.floor((F.shiftrightunsigned("row", 16).cast("double") / float(1 << 48)) * parts)
-    streams = scratch.keep(_stretches(numbered, ["source_no"], place, [F.col("row"), F.col("doc_id")], "size", "start", scratch), "streams")
+    streams = scratch.keep(_stretches(numbered, ["source_no"], spot["place"], [F.col("row"), F.col("doc_id")], "size", "start", scratch), "streams")
     passes = streams.where("size > 0 and aim > 0").withColumn("pass", F.explode(F.expr("sequence(0L, (aim - 1) div source_size)")))
     passes = passes.withColumn("lo", F.col("start") + F.col("pass") * F.col("source_size")).withColumn("hi", F.least(F.col("lo") + F.col("size"), F.col("aim"))).where("hi > lo")
     pieces = passes.withColumn("block", F.explode(F.expr(f"sequence(lo div {block}, (hi - 1) div {block})")))
@@ -161,20 +175,34 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: each row as many times as the whole passes nearest to what is taken.
 
     taken / size rounds half up, so a document of which under half is taken is left out and one
-    read twice appears twice; columns are those of docs.  Of equal rows one is repeated for all,
-    dealt out in chunks, so many of them are neither gathered nor numbered.
+    read twice appears twice; columns are those of docs.  A source's target ends within one pass of
+    its stream, so rows up to some spot get one pass more than those behind it: that spot and the two
+    counts say it for the whole source, and texts are not shuffled for it.  Of equal rows one is
+    repeated for all, dealt out in chunks, so many of them are neither gathered nor numbered.
     """
     scratch, seed = common.Scratch(docs.sparkSession, "mixed"), options.get("seed", 1)
     plan, _ = mix(docs, equal=_whole_row(docs), **options)
-    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0)
-    times = plan.groupBy(F.col("h").alias("__h")).agg(F.sum(times).cast("long").alias("__n"), F.count("*").alias("__rows"))
-    times = scratch.keep(times.where("__n > 0"), "times")
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("long")
+    plan = scratch.keep(plan.select("h", "row", "doc_id", "source", "size", times.alias("n")), "plan")
+    parts = _parts(plan.count())
+    ends = plan.where("size > 0").groupBy("source", "n").agg(F.max(_spot(F.col("row"), F.col("doc_id"), parts)).alias("last"))
+    ends = ends.groupBy(F.col("source").alias("__source")).agg(F.max("n").alias("__more"), F.min("n").alias("__less"), F.max_by("last", "n").alias("__last"))
+    ends = scratch.keep(ends, "ends")
+    several = plan.groupBy(F.col("h").alias("__h")).agg(F.sum("n").alias("__n"), F.count("*").alias("__rows"))
+    several = scratch.keep(several.where("__rows > 1").select("__h", "__n"), "several")
+    scratch.drop("plan")
+    some = not several.isEmpty()
+
     own = docs.withColumn("__h", row_hash(_whole_row(docs), seed))
-    single = own.join(times.where("__rows = 1"), "__h").withColumn("__n", F.explode(F.expr("sequence(1L, __n)")))
-    several = times.where("__rows > 1").select("__h", "__n")
+    single = own.join(several, "__h", "left_anti") if some else own
+    single = single.where(F.col("text").rlike(WORD)).join(ends, F.col("source").eqNullSafe(F.col("__source")))
+    spot = _spot(_row(F.col("__h"), F.lit(0).cast("long")), F.col("doc_id"), parts)
+    n = F.when(spot <= F.col("__last"), F.col("__more")).otherwise(F.col("__less"))
+    single = single.withColumn("__n", n).where("__n > 0").withColumn("__n", F.explode(F.expr("sequence(1L, __n)")))
     out = single.select(*docs.columns)
-    if several.isEmpty():
+    if not some:
         return out
+    several = several.where("__n > 0")
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     one = own.join(several, "__h", "left_semi").groupBy("__h").agg(F.first(whole).alias("__row"))
     chunks = one.join(several, "__h").withColumn("__c", F.explode(F.expr(f"sequence(0L, (__n - 1) div {STRETCH_ROWS})")))

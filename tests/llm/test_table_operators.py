@@ -189,6 +189,39 @@ def test_mix_meets_its_targets(spark):
     assert whole.count() == int(sum(math.floor(t / n + 0.5) for t, n in zip(plan.taken, plan["size"]) if n))
 
 
+def passes(docs, **options):
+    """Of each doc_id and text, the rows that the schedule's taken words ask for."""
+    words = docs.select("doc_id", "text", S.row_hash(S._whole_row(docs), 1).alias("h")).distinct()
+    plan, found = S.mix(docs, equal=S._whole_row(docs), **options)[0].join(words.drop("doc_id"), "h"), {}
+    for r in plan.collect():
+        key = r["doc_id"], r["text"]
+        found[key] = found.get(key, 0) + (math.floor(r["taken"] / r["size"] + 0.5) if r["size"] else 0)
+    return {k: n for k, n in found.items() if n}
+
+
+@pytest.mark.parametrize("stretch, block", [(4096, 64), (100, 64), (300, 512)])
+def test_mixed_rows_follow_the_schedule(spark, monkeypatch, stretch, block):
+    monkeypatch.setattr(S, "STRETCH_ROWS", stretch)
+    for rows in (mix_rows(), mix_rows(5)[:900]):  # with equal rows and without
+        docs = spark.createDataFrame([(*r, "n", 1) for r in rows], "doc_id long, source string, text string, row string, place int")
+        got = {(r["doc_id"], r["text"]): r["count"] for r in S.mixed_documents(docs, block_words=block).groupBy("doc_id", "text").count().collect()}
+        assert got == passes(docs, block_words=block) and {1, 2} <= set(got.values())
+
+
+def test_mixed_documents_shuffle_no_text(spark):
+    rng, threshold = random.Random(6), "spark.sql.autoBroadcastJoinThreshold"
+    rows = [(i, rng.choice(["a", "b", None]), " ".join("w" * rng.randint(0, 9))) for i in range(12_000)]
+    docs, before = spark.createDataFrame(rows, "doc_id long, source string, text string"), spark.conf.get(threshold)
+    try:
+        spark.conf.set(threshold, "40k")  # as at larger sizes, one entry a row is too much to be broadcast
+        out = S.mixed_documents(docs)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+        assert out.count() == sum(passes(docs).values())
+    finally:
+        spark.conf.set(threshold, before)
+
+
 def plain_targets(sizes, weights):
     """Water filling by bisection on the level."""
     aim, lo, hi = 1.5 * sum(sizes), 0.0, 2.0 * max(sizes) + 1
